@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .packing import op7_best_fit_packing
+from .quality_rules import op2_quality_rules
 from .url_filters import OP9_SQL, op9_url_filters
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op9_url_filters": op9_url_filters,
     "op10_line_dedup": op10_line_dedup,
 }
 
 SQL = {
+    "op3_exact_dedup": OP3_SQL,
     "op9_url_filters": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
 }
