@@ -46,12 +46,14 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     twice = lambda x, j: (F.get("ordered", j - 1)["g"] == x["g"]) | (F.get("ordered", j + 1)["g"] == x["g"])
     df = df.withColumn("at", F.array_sort(F.transform(F.filter("ordered", lambda x, j: F.coalesce(twice(x, j), (F.get("ordered", j + 1)["g"] == x["g"]), F.get("ordered", j - 1)["g"] == x["g"], F.lit(False))), lambda x: x["i"])))
     covered = F.aggregate(F.transform("at", lambda p, j: F.least(F.lit(3), F.coalesce(F.get("at", j + 1) - p, F.lit(3))).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    df = df.select(
-        "doc", F.size("words").cast("long").alias("n_words"), F.length(F.translate("text", WHITE, "")).cast("long").alias("word_chars"), count(SYMBOLS).alias("n_symbols"),
+    counts = (
+        F.size("words").cast("long").alias("n_words"), F.length(F.translate("text", WHITE, "")).cast("long").alias("word_chars"), count(SYMBOLS).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
         (F.length("text") - F.length(F.regexp_replace("text", r"\p{Lu}", ""))).cast("long").alias("n_upper"), count("!").alias("n_shouts"),
         F.size("lines").cast("long").alias("n_lines"), F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
     )
+    # a generator, since a later filter that moved below these steps would repeat them for every element of the arrays
+    df = df.select("doc", F.inline(F.array(F.struct(*counts))))
     return df.select(
         "doc", *BASE, per("n_symbols", "n_words", 1000).alias("symbols_pm"), per("n_upper", "word_chars", 1000).alias("upper_pm"), per("n_shouts", "n_words", 1000).alias("shouts_pm"),
         per("n_dup_lines", "n_lines", 1000).alias("dup_lines_pm"), per("n_repeat_words", "n_words", 1000).alias("repeats_pm"),
