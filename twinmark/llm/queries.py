@@ -6,9 +6,11 @@ from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .packing import op7_best_fit_packing
 from .quality_rules import op2_quality_rules
+from .suffix_dedup import op1_suffix_dedup
 from .url_filters import OP9_SQL, op9_url_filters
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_exact_dedup": op3_exact_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
