@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .near_dedup import op6_minhash_near_dedup
 from .packing import op7_best_fit_packing
 from .quality_rules import op2_quality_rules
 from .suffix_dedup import op1_suffix_dedup
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_url_filters": op9_url_filters,
     "op10_line_dedup": op10_line_dedup,
