@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .lm_scoring import op8_lm_scoring
 from .near_dedup import op6_minhash_near_dedup
 from .packing import op7_best_fit_packing
 from .quality_rules import op2_quality_rules
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_url_filters": op9_url_filters,
     "op10_line_dedup": op10_line_dedup,
 }
