@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .shared import WHITE_BYTES, materialize, shards, table
+from .shared import WHITE, WHITE_BYTES, materialize, shards, table
 
 BLOCK = 4096
 #: Texts of one fingerprint are named in bundles of so many bytes.
@@ -41,7 +41,7 @@ def name_texts(texts: list[bytes], block: int = BLOCK) -> list[int]:
 
 
 # lid: the batch's class; fp: where equal texts meet; members: the class's rows; best_*: the one that would stay
-_LOCAL = "lid long, fp long, text binary, sha string, n long, best_chars long, best_id long, members array<long>, chars array<long>"
+_LOCAL = "lid long, fp long, text binary, sha string, n long, best_chars long, best_id long, members array<long>"
 
 
 def _local_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,17 +52,17 @@ def _local_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         classes: dict[int, list[int]] = {}
         for i, name in enumerate(name_texts(texts)):
             classes.setdefault(name, []).append(i)
-        out: list[list] = [[] for _ in range(9)]
+        out: list[list] = [[] for _ in range(8)]
         for members in classes.values():
             text = texts[members[0]]
             digest = hashlib.sha256(text)
             best = min(members, key=lambda i: (-len(given[i]), ids[i] is None, ids[i] or 0))
-            row = (lid, int.from_bytes(digest.digest()[:8], "little", signed=True), text, digest.hexdigest(), len(members), len(given[best]), ids[best], [ids[i] for i in members], [len(given[i]) for i in members])
+            row = (lid, int.from_bytes(digest.digest()[:8], "little", signed=True), text, digest.hexdigest(), len(members), len(given[best]), ids[best], [ids[i] for i in members])
             for column, value in zip(out, row):
                 column.append(value)
             lid += 1
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["lid", "fp", "text", "sha", "n", "best_chars", "best_id", "members", "chars"])
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["lid", "fp", "text", "sha", "n", "best_chars", "best_id", "members"])
 
 
 def _global_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,10 +115,28 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     small = classes.select("lid", "n", "best_chars", "best_id").join(named, "lid")
     best = F.min(F.struct((-F.col("best_chars")).alias("c"), F.col("best_id").isNull().alias("none"), F.col("best_id").alias("id")))
     groups = small.groupBy("name").agg(best.alias("best"), F.sum("n").alias("group_size"))
-    fate = named.join(groups, "name").select("lid", F.col("best.id").alias("keep_id"), (-F.col("best.c")).alias("keep_chars"), "group_size")
-    rows = classes.select("lid", "sha", F.explode(F.arrays_zip("members", "chars")).alias("m")).join(fate, "lid")
-    kept = F.col("m.members").eqNullSafe(F.col("keep_id")) & (F.col("m.chars") == F.col("keep_chars"))
-    return rows.select(F.col("m.members").alias("doc_id"), "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
+    fate = named.join(groups, "name").select("lid", F.col("best.id").alias("keep_id"), "group_size")
+    rows = classes.select("lid", "sha", F.explode("members").alias("doc_id")).join(fate, "lid")
+    return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+#: Bytes of dropped rows' names that may be broadcast; more are joined by shuffle.
+MAX_BROADCAST_BYTES = 8 << 20
+
+
+def without(docs: DataFrame, dropped: DataFrame, on: list[str], row_bytes: int) -> DataFrame:
+    """docs without the rows that dropped names by the columns of on, nulls included; dropped takes row_bytes a row."""
+    dropped = materialize(dropped.select(*(F.col(c).alias(f"_dropped_{c}") for c in on)), "dropped")
+    small = dropped.count() * row_bytes <= MAX_BROADCAST_BYTES
+    same = [F.col(c).eqNullSafe(F.col(f"_dropped_{c}")) for c in on]
+    return docs.join(F.broadcast(dropped) if small else dropped, same, "left_anti")
+
+
+def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with all their columns."""
+    digest = F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), WHITE, "").cast("binary"), 256)
+    out = without(docs.withColumn("_sha", digest).withColumn("_id", F.col("doc_id").cast("long")), exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), ["_id", "_sha"], 80)
+    return out.drop("_sha", "_id")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

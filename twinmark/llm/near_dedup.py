@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .exact_dedup import without
 from .graphs import components
 from .shared import materialize, shards, table
 from .shingles import folded, mix, shingle_hashes
@@ -226,5 +227,11 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of docs that near_dedup keeps, with all their columns."""
+    dropped = near_dedup(docs).filter("not kept").select(F.col("doc_id").alias("_id"))
+    return without(docs.withColumn("_id", F.col("doc_id").cast("long")), dropped, ["_id"], 8).drop("_id")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .shared import materialize, shards, table
 
@@ -236,10 +237,10 @@ def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, starts, stops) -> sizes, digest and what is left of the text."""
+    """(doc, text, spans) -> doc, sizes, digest and what is left of the text."""
     for batch in batches:
-        out: list[list] = [[] for _ in range(6)]
-        for doc_id, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        out: list[list] = [[] for _ in range(5)]
+        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             text, runs = text or b"", []
             for s, e in sorted((x[i], x[i + 1]) for x in spans or [] for i in range(0, len(x), 2)):
                 if runs and s <= runs[-1][1]:
@@ -251,10 +252,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.append(text[at:s])
                 at = e
             kept = b"".join([*kept, text[at:]])
-            for column, x in zip(out, (doc_id, len(text), sum(e - s for s, e in runs), len(runs), hashlib.sha256(kept).hexdigest(), kept)):
+            for column, x in zip(out, (len(text), sum(e - s for s, e in runs), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"))):
                 column.append(x)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -282,20 +283,35 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     return spans.unionByName(found.select("doc_id", "crc", F.array("p", (F.col("p") + length).cast("int")).alias("spans")))
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay).
+def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """One row per row of docs (doc_id, text, ...): struct doc of all its columns, n_bytes, n_removed, n_spans, kept_sha256 (of the
+    bytes that stay) and kept (these bytes as text, without the parts of characters that a cut may leave).
 
     Each byte covered by a string of `length` bytes that also starts elsewhere in the input, the same text included, is removed; texts are
-    UTF-8, null is empty. A cut may leave a part of a character. Repeated rows count as texts of their own, and so lose what is
-    `length` bytes or longer; null ids are allowed. An empty table gives no rows; other columns are ignored, whatever their names.
+    UTF-8, null is empty. Repeated rows count as texts of their own, and so lose what is
+    `length` bytes or longer; null ids are allowed. An empty table gives no rows; other columns are only carried, whatever their names.
     """
-    own = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b"")).alias("text"))
-    spans = repeated_spans(own, length).groupBy("doc_id", "crc").agg(F.collect_list("spans").alias("spans"))
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b"")).alias("text"))
+    spans = repeated_spans(rows.select("doc_id", "text"), length).groupBy("doc_id", "crc").agg(F.collect_list("spans").alias("spans"))
     spans = spans.select(F.col("doc_id").alias("i"), F.col("crc").alias("c"), "spans")
-    both = own.withColumn("crc", (F.crc32("text") - F.lit(1 << 31)).cast("int"))
-    joined = both.join(spans, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("crc") == F.col("c")), "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    both = rows.withColumn("crc", (F.crc32("text") - F.lit(1 << 31)).cast("int"))
+    joined = both.join(spans, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("crc") == F.col("c")), "left").select("doc", "text", "spans")
+    kinds = [("doc", joined.schema["doc"].dataType), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept", "string")]
+    schema = StructType()
+    for name, kind in kinds:
+        schema = schema.add(name, kind)
+    return joined.mapInArrow(_cut, schema)
+
+
+def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with its columns: text without the repeated strings and the parts of characters that a cut leaves, and n_chars, if there, made new."""
+    cut = cut_repeats(docs, length)
+    text = F.when(F.col("n_removed") == 0, F.col("doc.text")).otherwise(F.col("kept"))
+    cut = cut.select("doc", text.alias("left"))
+    made = {"text": F.col("left"), "n_chars": F.length(F.coalesce("left", F.lit(""))).cast("long")}
+    return cut.select(*(made.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return cut_repeats(docs).select(F.col("doc.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
