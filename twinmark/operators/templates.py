@@ -16,17 +16,16 @@ def group_runs(rows: DataFrame) -> DataFrame:
     Runs are counted within pieces of the input and the pieces' counts summed up, so no task sees all rows; only a row before
     each piece and one count per piece are exchanged. rows: line_no long, qname.
     """
-    width = 1 << 20
+    width = 1 << 16
     piece = rows.withColumn("_piece", F.expr(f"line_no div {width}"))
-    own = Window.partitionBy("_piece").orderBy("line_no")
-    heads = piece.groupBy("_piece").agg(F.max_by("qname", "line_no").alias("_last"), F.lit(1).alias("_one"))
-    before = heads.select((F.col("_piece") + 1).alias("_piece"), F.col("_last").alias("_before"))
+    own, pieces = Window.partitionBy("_piece").orderBy("line_no"), Window.orderBy("_piece")
+    before = piece.groupBy("_piece").agg(F.max_by("qname", "line_no").alias("_last")).select("_piece", F.lag("_last").over(pieces).alias("_before"))
     lagged = piece.join(before, "_piece", "left").withColumn("_prev", F.coalesce(F.lag("qname").over(own), F.when(F.row_number().over(own) == 1, F.col("_before"))))
     new = F.when(F.col("_prev").isNull() | (F.col("_prev") != F.col("qname")), 1).otherwise(0)
     marked = lagged.withColumn("_run", F.sum(new.cast("long")).over(own))
     counts = marked.groupBy("_piece").agg(F.max("_run").alias("_runs"))
-    # one row per piece of a million rows
-    sums = counts.withColumn("_first", F.sum("_runs").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)))
+    # one row per piece of 65,536 rows
+    sums = counts.withColumn("_first", F.sum("_runs").over(pieces.rowsBetween(Window.unboundedPreceding, -1)))
     out = marked.join(sums.select("_piece", F.coalesce("_first", F.lit(0)).alias("_first")), "_piece")
     return out.withColumn("ord", F.col("_first") + F.col("_run") - 1).select(*rows.columns, "ord")
 
