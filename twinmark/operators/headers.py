@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNKNOWN, ALL = "Unknown Library", "All Reads"
@@ -45,22 +45,31 @@ def programs(header: DataFrame) -> DataFrame:
     return _tags(header, "PG", id="ID", pn="PN", vn="VN", pp="PP", cl="CL").drop("line_no")
 
 
+def buckets(groups: DataFrame, unaware: bool = False) -> list[str]:
+    """Library names by bucket. One if there are fewer than two libraries or they are not told apart; else 0 is for unknown ones and the others are sorted."""
+    names = sorted({r.library for r in groups.select("library").distinct().collect() if r.library}, key=lambda x: x.encode())
+    if unaware or len(names) < 2:
+        return [ALL if len(names) >= 2 else names[0] if names else UNKNOWN]
+    return [UNKNOWN, *names]
+
+
 def library_index(groups: DataFrame, unaware: bool = False) -> DataFrame:
-    """(library, lib_idx). One bucket if there are fewer than two libraries or they are not told apart; else 0 is for unknown ones and the others are sorted."""
-    named = groups.filter(F.col("library").isNotNull() & (F.col("library") != ""))
-    names = named.agg(F.array_sort(F.collect_set("library")).alias("names"))
-    one = F.when(F.size("names") >= 2, F.lit(ALL)).when(F.size("names") == 1, F.get("names", F.lit(0))).otherwise(F.lit(UNKNOWN))
-    many = F.concat(F.array(F.lit(UNKNOWN)), F.col("names"))
-    buckets = F.array(one) if unaware else F.when(F.size("names") >= 2, many).otherwise(F.array(one))
-    return names.select(F.posexplode(buckets).alias("lib_idx", "library")).select("library", "lib_idx")
-
-
-def with_library(df: DataFrame, groups: DataFrame, index: DataFrame) -> DataFrame:
-    """Add library and lib_idx by the column rg; unknown, missing or nameless read groups get bucket 0."""
-    first = index.filter("lib_idx = 0").select(F.col("library").alias("_zero"))
-    known = groups.select(F.col("id").alias("rg"), "library").filter(F.col("library") != "").join(index, "library")
-    out = df.join(F.broadcast(known), "rg", "left").join(F.broadcast(first))
-    return out.select(*df.columns, F.coalesce("library", "_zero").alias("library"), F.coalesce("lib_idx", F.lit(0)).alias("lib_idx"))
+    """(library, lib_idx) of all buckets."""
+    return groups.sparkSession.createDataFrame([(n, i) for i, n in enumerate(buckets(groups, unaware))], "library string, lib_idx int")
+
+
+def with_bucket(rows: DataFrame, groups: DataFrame, names: list[str]) -> DataFrame:
+    """Add lib_idx by the column rg; unknown, missing or nameless read groups get bucket 0. With one bucket no read group is looked up."""
+    if len(names) == 1:
+        return rows.withColumn("lib_idx", F.lit(0))
+    place = {n: i for i, n in enumerate(names)}
+    known = [(r.id, place[r.library]) for r in groups.select("id", "library").collect() if r.library]
+    dims = rows.sparkSession.createDataFrame(known, "rg string, _idx int")
+    return rows.join(F.broadcast(dims), "rg", "left").select(*rows.columns, F.coalesce("_idx", F.lit(0)).alias("lib_idx"))
+
+
+def bucket_name(names: list[str]) -> Column:
+    return F.get(F.array(*(F.lit(n) for n in names)), F.col("lib_idx"))
 
 
 def sample_names(groups: DataFrame, override: str | None = None) -> DataFrame:

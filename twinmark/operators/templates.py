@@ -56,14 +56,19 @@ def bad_reference_ids(ends: DataFrame) -> DataFrame:
     return ends.filter(primary(F.col("flag")) & ~has(F.col("flag"), UNMAPPED) & F.col("seq_num").isNull())
 
 
-END = ("flag", "mapq", "cigar", "seq_num", "p5", "kpos", "rev", "lpos", "lkpos")
+END = ("flag", "mapq", "seq_num", "p5", "kpos", "rev", "lpos", "lkpos")
 
 
-def templates(ends: DataFrame) -> DataFrame:
-    """One row per ord: qname, rg (of the first row), first and second: the last primary row of each slot, or null."""
-    end, which = F.struct(*END), slot(F.col("flag"))
-    pick = lambda k: F.max_by(F.when(which == k, end), F.when(which == k, F.col("rec_idx")))
-    return ends.groupBy("ord").agg(F.min_by("qname", "rec_idx").alias("qname"), F.min_by("rg", "rec_idx").alias("rg"), pick(1).alias("first"), pick(2).alias("second"))
+def templates(ends: DataFrame, cigars: bool = False) -> DataFrame:
+    """One row per ord: lib_idx (of the first row), first and second: the last primary row of each slot, or null.
+
+    Fields are aggregated one by one: numbers let the aggregation hash, where structs and texts would sort. So the ends' CIGARs come on request only.
+    """
+    which, fields = slot(F.col("flag")), (*END, "cigar") if cigars else END
+    pick = lambda k, c: F.max_by(F.when(which == k, F.col(c)), F.when(which == k, F.col("rec_idx"))).alias(f"_{k}_{c}")
+    rows = ends.groupBy("ord").agg(F.min_by("lib_idx", "rec_idx").alias("lib_idx"), *(pick(k, c) for k in (1, 2) for c in fields))
+    end = lambda k: F.when(F.col(f"_{k}_flag").isNotNull(), F.struct(*(F.col(f"_{k}_{c}").alias(c) for c in fields)))
+    return rows.select("ord", "lib_idx", end(1).alias("first"), end(2).alias("second"))
 
 
 def classify(df: DataFrame, ignore_unmated: bool = False) -> DataFrame:
@@ -84,12 +89,12 @@ def classify(df: DataFrame, ignore_unmated: bool = False) -> DataFrame:
     return out.withColumn("mapped", F.when(F.col("class") == "fragment", mapped))
 
 
-def check(classified: DataFrame) -> None:
-    """Raise a ValueError for the first template that no run accepts."""
+def check(classified: DataFrame, rows: DataFrame) -> None:
+    """Raise a ValueError for the first template that no run accepts; rows has the names."""
     wrong = classified.filter(F.col("class").isin("no_primary", "missing_mate")).orderBy("ord").limit(1).collect()
     if wrong:
         what = "has no primary record: the input isn't grouped by query name" if wrong[0]["class"] == "no_primary" else "lacks its mate (ignore_unmated lets it pass)"
-        raise ValueError(f"template {wrong[0].qname} {what}")
+        raise ValueError(f"template {rows.filter(F.col('ord') == wrong[0].ord).first().qname} {what}")
 
 
 def keyed(classified: DataFrame, max_read_length: int = 1000, directional: bool = False, legacy: bool = False) -> DataFrame:

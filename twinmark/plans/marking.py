@@ -21,16 +21,26 @@ class MarkDuplicates:
     read_groups: DataFrame
     options: Options = field(default_factory=Options)
 
+    @cached_property
+    def libraries(self) -> list[str]:
+        return headers.buckets(self.read_groups, self.options.library_unaware)
+
     @cached_property
     def ends(self) -> DataFrame:
         narrow = self.rows.select("ord", "rec_idx", "qname", "flag", "rname", "pos", "mapq", "cigar", "rg")
-        return templates.with_ends(narrow, self.contigs, self.options.max_read_length)
+        return templates.with_ends(headers.with_bucket(narrow, self.read_groups, self.libraries), self.contigs, self.options.max_read_length)
+
+    def _classified(self, cigars: bool = False) -> DataFrame:
+        found = templates.classify(templates.templates(self.ends, cigars), self.options.ignore_unmated)
+        return found.withColumn("library", headers.bucket_name(self.libraries))
 
     @cached_property
     def classified(self) -> DataFrame:
-        index = headers.library_index(self.read_groups, self.options.library_unaware)
-        groups = self.read_groups.limit(0) if self.options.library_unaware else self.read_groups
-        return headers.with_library(templates.classify(templates.templates(self.ends), self.options.ignore_unmated), groups, index)
+        return self._classified()
+
+    def with_mate_tags(self) -> DataFrame:
+        """The rows with mc and mq."""
+        return emit.with_mate_tags(self.rows, self._classified(cigars=True))
 
     @cached_property
     def keyed(self) -> DataFrame:
@@ -53,14 +63,14 @@ class MarkDuplicates:
         """All records with the options applied, in output order."""
         rows = self.rows
         if self.options.add_mate_tags:
-            rows = emit.with_mate_tags(rows, self.classified)
+            rows = self.with_mate_tags()
         out = emit.flagged(rows, self.marks, self.options.remove_dups)
         late = self.classified.filter("class = 'fragment'") if self.options.single_end_strategy == "picard-exact" else None
         return emit.in_order(out, late)
 
     def check(self) -> None:
         """Raise a ValueError for templates that can't be marked and for records on unknown contigs."""
-        templates.check(self.classified)
+        templates.check(self.classified, self.rows)
         wrong = templates.bad_reference_ids(self.ends).limit(1).collect()
         if wrong:
             raise ValueError(f"{wrong[0].qname} is on {wrong[0].rname}, which the header doesn't have")

@@ -238,7 +238,9 @@ def template_slots(spark, d):
 
 @query(f"{_TEMPLATES} SELECT ord, qname, class FROM cl")
 def classify_templates(spark, d):
-    return _run(spark, d).classified.select("ord", "qname", "class")
+    run = _run(spark, d)
+    names = run.rows.filter("rec_idx = 0").select("ord", "qname")
+    return run.classified.select("ord", "class").join(names, "ord").select("ord", "qname", "class")
 
 
 @query(f"{_TEMPLATES} SELECT ord, library FROM cl")
@@ -349,8 +351,7 @@ def emit_exact_order(spark, d):
   SELECT al.ord, rec_idx, flag, {_OUT}, CASE WHEN (flag & 64) = (f.flag & 64) THEN CASE WHEN (s.flag & 4) = 0 THEN s.cigar END ELSE CASE WHEN (f.flag & 4) = 0 THEN f.cigar END END AS mc,
     CAST(CASE WHEN (flag & 64) = (f.flag & 64) THEN CASE WHEN (s.flag & 4) = 0 THEN s.mapq END ELSE CASE WHEN (f.flag & 4) = 0 THEN f.mapq END END AS BIGINT) AS mq FROM al LEFT JOIN e USING (ord)""")
 def mate_tags(spark, d):
-    run = _run(spark, d)
-    return emit.with_mate_tags(run.rows, run.classified)
+    return _run(spark, d).with_mate_tags()
 
 
 # --- metrics ---------------------------------------------------------------------------------------------------
