@@ -4,7 +4,7 @@ Texts with the same set of shingles are one class. A class's MinHash samples mak
 candidates, and are folded into an odd sketch: a bitmap of parities. The population count of two sketches' XOR
 estimates their similarity; pairs far below the threshold go, the rest is confirmed on full sets. Pairs are not
 made within buckets: first each class meets the leaders of its buckets (another one in each, chosen by hash), and only
-where a bucket still holds several components do its classes meet, sketch against sketch in blocks.
+where a bucket still holds several components do its classes meet, in blocks, which give no more links than it takes to join components.
 """
 
 from __future__ import annotations
@@ -109,39 +109,72 @@ def _confirm(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Ite
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()).filter(pick), pa.array(b, pa.int64()).filter(pick)], ["a", "b"])
 
 
-def _across(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, block, id, component, sketch) sorted by key, i, j -> pairs of different components with like sketches."""
-
-    def pairs(rows: list[tuple]) -> tuple[list[int], list[int]]:
-        ids, comps = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
-        odd = np.array([r[6] for r in rows], np.int64).view(np.uint64)
-        block = np.array([r[3] for r in rows])
-        i, j = rows[0][1], rows[0][2]
-        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out_a, out_b = [], []
-        for s in range(0, len(x), 64):
-            own = x[s : s + 64]
-            bits = np.bitwise_count(odd[own][:, None, :] ^ odd[y][None, :, :]).sum(axis=2, dtype=np.int32)
-            near = (bits <= most) & (comps[own][:, None] != comps[y][None, :])
-            if i == j:
-                near &= own[:, None] < y[None, :]
-            p, q = np.nonzero(near)
-            out_a += ids[own[p]].tolist()
-            out_b += ids[y[q]].tolist()
-        return out_a, out_b
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> (id, own): the sorted hashes of the shingles."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            hashes, counts = shingle_hashes([folded(t) for t in part.column(1).to_pylist()], words)
+            ends = np.cumsum(counts)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(hashes[e - c : e]).tobytes() for e, c in zip(ends.tolist(), counts.tolist())], pa.binary())], ["id", "own"])
+
+
+class _Groups:
+    """Union-find over a block's rows."""
+
+    def __init__(self, labels: list[int]):
+        first: dict[int, int] = {}
+        self.up = [first.setdefault(c, i) for i, c in enumerate(labels)]
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+
+def _links(rows: list[tuple], most: int, percent: int) -> Iterator[tuple[int, int]]:
+    """Links that join different components of a block pair's rows (key, i, j, block, id, component, sketch, own): no more than rows."""
+    groups, i, j = _Groups([r[5] for r in rows]), rows[0][1], rows[0][2]
+    odd = np.array([r[6] for r in rows], np.int64).view(np.uint64)
+    sets = [np.frombuffer(r[7], np.uint64) for r in rows]
+    sizes, block = np.array([len(x) for x in sets]), np.array([r[3] for r in rows])
+    other = np.flatnonzero(block == j)
+    for p in np.flatnonzero(block == i).tolist():
+        root = groups.find(p)
+        q = other[other > p] if i == j else other
+        near = np.bitwise_count(odd[p] ^ odd[q]).sum(axis=1, dtype=np.int32) <= most
+        near &= 100 * np.minimum(sizes[p], sizes[q]) >= percent * np.maximum(sizes[p], sizes[q])
+        q = np.array([x for x in q[near].tolist() if groups.find(x) != root], np.int64)
+        if not len(q):
+            continue
+        flat, starts = np.concatenate([sets[x] for x in q]), np.cumsum(sizes[q]) - sizes[q]
+        at = np.minimum(np.searchsorted(sets[p], flat), sizes[p] - 1)
+        both = np.add.reduceat((sets[p][at] == flat).astype(np.int64), starts)
+        for x in q[100 * both >= percent * (sizes[p] + sizes[q] - both)].tolist():
+            a, b = groups.find(p), groups.find(x)
+            if a != b:
+                groups.up[a] = b
+                yield rows[p][4], rows[x][4]
+
+
+def _across(batches: Iterator[pa.RecordBatch], most: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, i, j, block, id, component, sketch, own) sorted by key, i, j -> links (a, b)."""
+
+    def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     held: list[tuple] = []
     for batch in batches:
-        a, b = [], []
-        for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+        found: list[tuple[int, int]] = []
+        for row in zip(*(batch.column(i).to_pylist() for i in range(8))):
             if held and row[:3] != held[-1][:3]:
-                got = pairs(held)
-                a, b, held = a + got[0], b + got[1], []
+                found += _links(held, most, percent)
+                held = []
             held.append(row)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        yield out(found)
     if held:
-        a, b = pairs(held)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        yield out(list(_links(held, most, percent)))
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -197,12 +230,13 @@ def similar_links(classes: DataFrame, texts: DataFrame, words: int = WORDS, perc
     labelled = shared.filter("rows > 2").join(known.withColumnRenamed("node", "id"), "id", "left").select("key", "rows", "id", F.coalesce("component", "id").alias("component"))
     labelled = materialize(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    rows = labelled.join(mixed, "key").join(odd, "id").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
+    rows = materialize(labelled.join(mixed, "key"), "mixed")
+    left = own.join(rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(partial(_sets, words=words), "id long, own binary")
+    rows = rows.join(odd, "id").join(left, "id").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "sketch")
-    pairs = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(partial(_across, most=most), "a long, b long")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = materialize(pairs.join(near.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "sketch", "own")
+    pairs = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(partial(_across, most=most, percent=percent), "a long, b long")
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     return merged(known, materialize(confirmed(pairs), "pair_links"), "pair_joined")
 
 
