@@ -48,6 +48,6 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def shards(df: DataFrame, least: int = 8, rows_each: int = 50_000) -> int:
-    """How many partitions an exchange gets: the session's setting, a function of the cluster and not of this code."""
+def shards(df: DataFrame, least: int = 8) -> int:
+    """How many partitions an exchange gets: the session's setting, which belongs to the cluster and the input's size."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
