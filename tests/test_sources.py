@@ -69,6 +69,41 @@ def test_sam_scan_and_bam_round_trip(spark, tmp_path):
     assert bam.detect_format(out) == "bam" and bam.detect_format(path) == "sam"
 
 
+def bam_file(path, rows):
+    header = b"@SQ\tSN:chr1\tLN:1000000\n"
+    data = bam.MAGIC + struct.pack("<i", len(header)) + header + struct.pack("<ii", 1, 5) + b"chr1\0" + struct.pack("<i", 1000000)
+    base = dict(flag=0, rname="chr1", pos=7, mapq=3, cigar="*", rnext="*", pnext=0, tlen=0, seq="*", qual="*", aux=[])
+    data += b"".join(bam_codec.encode(base | r, {"chr1": 0}) for r in rows)
+    path.write_bytes(bgzf.compress(data, 1) + bgzf.EOF)
+    return str(path)
+
+
+def bam_names(path, size):
+    reader = bam.BamReader({"path": path, "splitBytes": str(size)})
+    return [row[2] for part in reader.partitions() for row in reader.read(part)]
+
+
+def test_bam_ranges_of_long_records(tmp_path):
+    rng, rows = random.Random(1), []
+    for i in range(24):
+        n = (300, 90_000, 400_000)[i % 3]
+        rows.append(dict(qname=f"r{i}", seq="".join(rng.choices("ACGT", k=n)), qual="".join(rng.choices("#(-27<AF", k=n)), aux=["mv:B:c," + ",".join(rng.choices("01", k=n // 5))]))
+    path = bam_file(tmp_path / "a.bam", rows)
+    for size in (1 << 26, 1_000_000, 200_000, 70_000):
+        assert bam_names(path, size) == [r["qname"] for r in rows], size
+
+
+def test_bam_ranges_that_cannot_be_told(tmp_path):
+    rows = [dict(qname=f"r{i}", seq="A" * 30_000, qual="".join(random.Random(i).choices("#(-27<AF", k=30_000))) for i in range(40)]
+    assert bam_names(bam_file(tmp_path / "a.bam", rows), 70_000) == [r["qname"] for r in rows]
+    for odd in rows:  # names that BAM doesn't allow are no plausible starts
+        odd["qname"] = "r\x01"
+    path = bam_file(tmp_path / "b.bam", rows)
+    assert len(bam_names(path, 1 << 26)) == 40
+    with pytest.raises(ValueError, match="splitBytes"):
+        bam_names(path, 70_000)
+
+
 def test_command_line(spark, tmp_path):
     path = write(tmp_path / "a.sam", lines(300))
     out, stats = str(tmp_path / "o.bam"), str(tmp_path / "s.tsv.gz")

@@ -1,7 +1,8 @@
 """BAM files as a Spark data source, format "bam", and as a sink.
 
 A file is read in byte ranges: a range starts at its first BGZF block, and there at the first byte from which a chain of
-plausible records leads to the end of the decoded data. Paths are local or on a shared mount.
+plausible records leads far enough. The range before, which knows where its records end, checks that place, so no record
+is lost or read twice without an error. Paths are local or on a shared mount.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from . import bam_codec, bgzf
 
 SCHEMA = "split int, row long, qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string, aux array<string>"
 MAGIC = b"BAM\x01"
+#: A start is where plausible records lead through this many bytes, and at least this many of them.
+CHAIN_BYTES, CHAIN_RECORDS = 4 << 16, 3
+# Fixed value: bytes of a record's fixed fields and longest name.
+HEAD = 36 + 255
 
 
 def detect_format(path: str) -> str:
@@ -39,15 +44,22 @@ class _Stream:
         self.begun: list[tuple[int, int]] = []  # where blocks begin: in the stream, in the file
         f.seek(offset)
 
-    def more(self) -> bool:
-        offset = self.f.tell()
-        block = bgzf.read_block(self.f, self.check_crc)
-        if block is None:
-            return False
-        if block:
-            self.begun.append((self.base + len(self.data), offset))
-            self.data, self.base, self.place = self.data[self.place :] + block, self.base + self.place, 0
-        return True
+    def more(self, n: int = 1) -> bool:
+        """Read at least n further bytes; False if the file has fewer."""
+        parts, self.base, self.place = [self.data[self.place :]], self.base + self.place, 0
+        size = len(parts[0])
+        wanted = size + n
+        while size < wanted:
+            offset = self.f.tell()
+            block = bgzf.read_block(self.f, self.check_crc)
+            if block is None:
+                break
+            if block:
+                self.begun.append((self.base + size, offset))
+                parts.append(block)
+                size += len(block)
+        self.data = b"".join(parts)
+        return size >= wanted
 
     def ended(self) -> bool:
         """No byte is left."""
@@ -62,10 +74,15 @@ class _Stream:
             self.begun.pop(0)
         return self.begun[0][1]
 
+    def where(self) -> tuple[int, int]:
+        """The next byte's block, and its place in there."""
+        block = self.block()
+        return block, self.base + self.place - self.begun[0][0]
+
     def take(self, n: int) -> bytes:
-        while len(self.data) - self.place < n:
-            if not self.more():
-                raise ValueError("the BAM file is cut off")
+        missing = n - (len(self.data) - self.place)
+        if missing > 0 and not self.more(missing):
+            raise ValueError("the BAM file is cut off")
         self.place += n
         return self.data[self.place - n : self.place]
 
@@ -127,16 +144,22 @@ class BamReader(DataSourceReader):
                 at = data.find(bgzf.MAGIC, at + 1)
         return None
 
+    def _stream(self, f, part: _Range) -> _Stream | None:
+        """The file from the range's first record on; None if no record starts in the range."""
+        first = self._start(f, part.start)
+        if first is None or first >= part.stop:
+            return None
+        s = _Stream(f, first, self.check_crc)
+        if first == 0:
+            s.take(self.skip)
+            return s
+        return s if self._align(s, part.stop) else None
+
     def read(self, part: _Range) -> Iterator[tuple]:
         names = [n for n, _ in self.refs]
         with open(self.path, "rb") as f:
-            first = self._start(f, part.start)
-            if first is None or first >= part.stop:
-                return
-            s = _Stream(f, first, self.check_crc)
-            if first == 0:
-                s.take(self.skip)
-            elif not self._align(s):
+            s = self._stream(f, part)
+            if s is None:
                 return
             row = 0
             # a record belongs to the range in which the block of its first byte begins
@@ -146,18 +169,39 @@ class BamReader(DataSourceReader):
                     raise ValueError("a BAM record is too large")
                 yield (part.number, row, *bam_codec.decode(s.take(size), names))
                 row += 1
+            self._check(part, None if s.ended() else s.where())
 
-    def _align(self, s: _Stream) -> bool:
-        """Move to the first record that starts in the stream."""
-        while len(s.data) < 4 << 16 and (going := s.more()):
-            pass
-        for at in range(len(s.data)):
-            end, n = at, 0
-            while end is not None and end < len(s.data):
-                end, n = bam_codec.plausible(s.data, end, len(self.refs)), n + 1
-            if end is not None and (n > 2 or (not going and end == len(s.data))):
-                s.place = at
+    def _check(self, part: _Range, place: tuple[int, int] | None) -> None:
+        """ValueError if the ranges after part, up to that of the next record's place (None: the file's end), would start elsewhere."""
+        with open(self.path, "rb") as f:
+            for later in self.partitions()[part.number + 1 :]:
+                s = self._stream(f, later)
+                here = place is not None and place[0] < later.stop
+                if (None if s is None else s.where()) != (place if here else None):
+                    raise ValueError(f"{self.path}: the first record after byte {later.start} can't be told; read the file with a larger splitBytes")
+                if here:
+                    return
+
+    def _align(self, s: _Stream, stop: int) -> bool:
+        """Move to the first record that starts in the stream; False if none does before the block at stop.
+
+        Its chain of plausible records leads through CHAIN_BYTES and CHAIN_RECORDS, however far these reach, or to the file's end.
+        """
+        going = True
+        while not s.ended() and s.block() < stop:
+            end, n = 0, 0
+            while end is not None and (end < CHAIN_BYTES or n < CHAIN_RECORDS):
+                left = len(s.data) - s.place
+                if going and left < end + HEAD:
+                    going = s.more(max(end + HEAD - left, left))
+                    left = len(s.data)
+                if end >= left:
+                    break
+                next_end = bam_codec.plausible(s.data, s.place + end, len(self.refs))
+                end, n = None if next_end is None else next_end - s.place, n + 1
+            if end is not None and (n >= CHAIN_RECORDS or end == left):
                 return True
+            s.place += 1
         return False
 
 
