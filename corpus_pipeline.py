@@ -38,7 +38,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of 1024 tokens."""
-    return pack(docs, default_tokenizer())
+    return pack(docs, default_tokenizer(), added_tokens=True)
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("MinHash near-dedup", near), ("suffix-array dedup", repeats), ("best-fit packing", packed)]

@@ -342,6 +342,27 @@ def test_encoder_forgets():
     assert got == [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    rng = random.Random(2)
+    parts = [" ", "  ", "\n", "a", "'s", "É", "1", "<|endoftext|>", "<|endoftext", "|>", "<|", "word", "\xa0"]
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "", None, "x <|endoftext|>" * 2000] + ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(500)]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    frame(spark, list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    want = Counter()
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        for k, (s, n) in enumerate(packing.pieces_of(len(ids))):
+            want[(i, k, s, n, zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes()))] += 1
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for out in (packing.op7_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, str(tmp_path))):
+        assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out.collect()) == want
+
+
 # --- 8 ---
 def test_lm(spark, docs, empty, tmp_path):
     docs.write.parquet(str(tmp_path / "d"))

@@ -73,9 +73,9 @@ _PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 
 @cache
 def _tokenizer(path: str):
-    """The byte-level BPE of a tokenizers file as a (faster) tiktoken encoder, whose merge ranks are the file's ids, and each id's size in bytes.
+    """The byte-level BPE of a tokenizers file as a (faster) tiktoken encoder, whose merge ranks are the file's ids, each id's size in bytes, and the ids of added tokens.
 
-    A special token's string in a text is ordinary text.
+    To the encoder an added token's string is ordinary text.
     """
     import tiktoken
 
@@ -91,14 +91,23 @@ def _tokenizer(path: str):
     sizes = np.zeros(max(ranks.values()) + 1, np.int64)
     for token, i in ranks.items():
         sizes[i] = len(token)
-    return tiktoken.Encoding(name="own", pat_str=_PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}), sizes
+    if any(t.get(k) for t in made.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{path}: added tokens that take what is beside them into account")
+    added = {t["content"]: t["id"] for t in made.get("added_tokens", [])}
+    return tiktoken.Encoding(name="own", pat_str=_PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}), sizes, added
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes; remembers a bounded number of words, most recent ones first."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes; remembers a bounded number of words, most recent ones first.
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
-        (self.tokenizer, self.sizes), self.remembered = _tokenizer(path), remembered
+    With added_tokens, texts are split at the file's added tokens first, which get their own ids; without, their strings are ordinary text.
+    """
+
+    def __init__(self, path: str, remembered: int = REMEMBERED, added_tokens: bool = False):
+        (self.tokenizer, self.sizes, added), self.remembered = _tokenizer(path), remembered
+        self.added = {t: i.to_bytes(4, "little") for t, i in added.items()} if added_tokens else {}
+        # the longest of those that begin at a place
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -113,6 +122,14 @@ class Encoder:
             yield from (data[s:e] for s, e in zip([0, *cuts], cuts))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.added:
+            return self._ordinary(texts)
+        # ordinary text and added tokens by turns
+        runs = [self.split(t) for t in texts]
+        got = iter(self._ordinary([x for r in runs for x in r[::2]]))
+        return [b"".join(self.added[x] if k % 2 else next(got) for k, x in enumerate(r)) for r in runs]
+
+    def _ordinary(self, texts: list[str]) -> list[bytes]:
         # words after the first are kept without the blank before them
         parts = [t.split(" ") for t in texts]
         firsts = [p.pop(0) for p in parts]
@@ -156,8 +173,8 @@ def pieces_of(n: int, size: int = MAX_TOKENS) -> list[tuple[int, int]]:
 _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int, bins: int, ahead: int, ids: bool) -> Iterator[pa.RecordBatch]:
-    base, encode, packer, waiting = TaskContext.get().partitionId() << 40, Encoder(path), Packer(size, bins), []
+def _pack(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int, bins: int, ahead: int, ids: bool, added_tokens: bool) -> Iterator[pa.RecordBatch]:
+    base, encode, packer, waiting = TaskContext.get().partitionId() << 40, Encoder(path, added_tokens=added_tokens), Packer(size, bins), []
     end, kinds = end_id.to_bytes(4, "little"), [pa.int64(), pa.int32(), *[pa.int64()] * 5, *([pa.binary()] if ids else [])]
     names = [x.split()[0] for x in _PLACED.split(", ")] + ["ids"] * ids
 
@@ -182,13 +199,13 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int,
         yield placed()
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = MAX_TOKENS, end_id: int = END_ID, bins: int = OPEN, ahead: int = AHEAD, ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = MAX_TOKENS, end_id: int = END_ID, bins: int = OPEN, ahead: int = AHEAD, ids: bool = False, added_tokens: bool = False) -> DataFrame:
     """One row per piece of each row of docs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    ids adds the piece's ids as little-endian unsigned 32-bit integers. Null and empty texts are their end id alone. Repeated rows
+    ids adds the piece's ids as little-endian unsigned 32-bit integers; added_tokens gives the tokenizer's added tokens in a text their own ids. Null and empty texts are their end id alone. Repeated rows
     and null ids are documents of their own; an empty table gives no rows; other columns are ignored, whatever their names.
     """
-    run = partial(_pack, path=tokenizer, size=size, end_id=end_id, bins=bins, ahead=ahead, ids=ids)
+    run = partial(_pack, path=tokenizer, size=size, end_id=end_id, bins=bins, ahead=ahead, ids=ids, added_tokens=added_tokens)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _PLACED + ", ids binary" * ids)
 
 
@@ -199,4 +216,4 @@ def default_tokenizer() -> str:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), default_tokenizer())
+    return pack(table(spark, sf_dir, "documents"), default_tokenizer(), added_tokens=True)
