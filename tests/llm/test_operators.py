@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinmark.llm import exact_dedup, line_dedup, lm_scoring, near_dedup, packing, pieces, quality_rules, suffix_dedup, url_filters, warc
+from twinmark.llm import exact_dedup, line_dedup, lm_scoring, near_dedup, packing, pieces, quality_rules, shared, suffix_dedup, url_filters, warc
 from twinmark.llm.graphs import components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -69,19 +69,72 @@ def spans_of(mask):
     return int((np.diff(np.concatenate([[0], mask.astype(int)])) == 1).sum())
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
+def expected_cut(rows, masks):
+    raw = [(t or "").encode() for _, t in rows]
+    return sorted((str(i), len(b), int(m.sum()), spans_of(m), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~m])).hexdigest()) for (i, _), b, m in zip(rows, raw, masks))
+
+
+def cut(spark, rows, length, words=False):
+    got = suffix_dedup.cut_repeats(frame(spark, rows), length, words).select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    return sorted((str(r[0]), *tuple(r)[1:]) for r in got)
+
+
+@pytest.mark.parametrize("hot", [4096, 2])
 def test_suffix_dedup(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", (40, hot))
+    monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", (40, False, hot))
+    monkeypatch.setattr(shared, "SPREAD_ROWS", 10)
+    monkeypatch.setattr(suffix_dedup, "SHARD", 5)
     rng = random.Random(5)
     base = "".join(rng.choice("abcd é") for _ in range(400))
-    texts = [None, "", "x" * 90, "ab" * 70, base, base[50:89], base[50:90], base[50:88]]
-    texts += ["".join(rng.choice("xyz") for _ in range(9)) + base[a : a + rng.randint(35, 60)] + rng.choice("xyz") * 5 for a in range(0, 300, 7)]
+    texts = [None, "", "x" * 90, "ab" * 70, base, base[50:89], base[50:90], base[50:88], "\0" * 45, "\0" * 39]
+    texts += ["".join(rng.choice("xyz") for _ in range(9)) + base[a : a + rng.randint(35, 60)] + rng.choice("xyz\0") * 5 for a in range(0, 300, 7)]
+    # one passage with the same core in many contexts
+    texts += ["".join(rng.choice("ab") for _ in range(30)) + "the core of a very common passage" + "".join(rng.choice("ab") for _ in range(30)) for _ in range(40)]
     texts += ["once " * 3] * 2 + [base[:45]] * 2
     rows = [(i, t) for i, t in enumerate(texts)] + [(7, base[300:360]), (7, base[300:360]), (None, base[200:270])]
-    raw = [(t or "").encode() for _, t in rows]
-    expected = sorted((str(i), len(b), int(m.sum()), spans_of(m), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~m])).hexdigest()) for (i, _), b, m in zip(rows, raw, covered(raw, 40)))
-    got = suffix_dedup.cut_repeats(frame(spark, rows), 40).select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
-    assert sorted((str(r[0]), *tuple(r)[1:]) for r in got) == expected
+    assert cut(spark, rows, 40) == expected_cut(rows, covered([(t or "").encode() for _, t in rows], 40))
+
+
+def covered_words(texts, length):
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", t)] for t in texts]
+    strings = [[tuple(t[s:e] for s, e in p[i : i + length]) for i in range(len(p) - length + 1)] for t, p in zip(texts, places)]
+    seen, out = Counter(x for s in strings for x in s), []
+    for t, p, s in zip(texts, places, strings):
+        mask = np.zeros(len(t), bool)
+        for i, x in enumerate(s):
+            if seen[x] > 1:
+                mask[p[i][0] : p[i + length - 1][1]] = True
+        out.append(mask)
+    return out
+
+
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_suffix_dedup_of_words(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", (11, True, hot))
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 400)
+    rng = random.Random(6)
+    base = [rng.choice(["a", "bé", "ccc", "Dd"]) for _ in range(300)]
+    texts = [None, "", " \t", "a " * 30, " ".join(base), "\n".join(base[20:31]), "\n".join(base[20:30])]
+    for a in range(0, 250, 5):
+        own = [rng.choice("xyz") for _ in range(rng.randrange(6))] + base[a : a + rng.randint(7, 20)] + [rng.choice("xyz") for _ in range(rng.randrange(6))]
+        texts.append("".join(w + rng.choice([" ", "  ", "\n"]) for w in own))
+    texts += [" ".join([*(rng.choice("xyz") for _ in range(8)), *base[40:50], *(rng.choice("xyz") for _ in range(8))]) for _ in range(30)]
+    rows = [*enumerate(texts), (7, "q w e " * 4), (None, " ".join(base[100:140]))]
+    masks = covered_words([(t or "").encode() for _, t in rows], 11)
+    assert cut(spark, rows, 11, True) == expected_cut(rows, masks)
+    both = suffix_dedup.cut_repeats(frame(spark, rows), 2000, passage_words=11)
+    assert sorted((str(r.doc["doc_id"]), r.n_removed, r.n_passage_bytes) for r in both.collect()) == sorted((str(i), 0, int(m.sum())) for (i, _), m in zip(rows, masks))
+
+
+def test_suffix_dedup_of_long_texts(spark):
+    rng = random.Random(7)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1_500_000))
+    rows = [(1, long[:1_048_500]), (2, long[1_048_000:1_500_000] + long[1_200_000:1_200_500] * 2), (3, "short " + long[700_000:700_450]), (4, "é" * 200)]
+    raw = [t.encode() for _, t in rows]
+    marked = [np.zeros(len(t), bool) for t in raw]
+    marked[0][1_048_000:] = marked[0][700_000:700_450] = marked[1][:500] = marked[2][6:] = True
+    marked[1][152_000:152_500] = marked[1][452_000:] = True
+    assert cut(spark, rows, 400) == expected_cut(rows, marked)
 
 
 def test_drop_repeats(spark, empty):

@@ -32,7 +32,36 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (out, path)
+    return out
+
+
+_written: dict[int, tuple[DataFrame, str]] = {}
+
+
+def forget(*written: DataFrame) -> None:
+    """Delete what materialize wrote for these, which nothing reads any more."""
+    for df in written:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_written.pop(id(df))[1])
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: spread_join: keys that are broadcast at most, and rows from which on they are.
+SPREAD_KEYS, SPREAD_ROWS = 50_000, 4096
+
+
+def spread_join(many: DataFrame, few: DataFrame, on: list[str], total: int) -> DataFrame:
+    """many joined with few, which was written and has in rows the number of many's rows that meet each of its keys; total: many's rows.
+
+    Keys with many rows are broadcast, so that their rows stay where they are: at most SPREAD_KEYS keys have more than total / SPREAD_KEYS rows.
+    """
+    most = max(SPREAD_ROWS, total // SPREAD_KEYS)
+    hot = few.filter(F.col("rows") > most)
+    if not hot.take(1):
+        return many.join(few, on)
+    rest = many.join(F.broadcast(hot.select(*on).distinct()), on, "left_anti").join(few.filter(F.col("rows") <= most), on)
+    return many.join(F.broadcast(hot), on).unionByName(rest)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -38,13 +38,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
-def _hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words of data; a word's hash doesn't depend on its place."""
-    b = np.frombuffer(data, np.uint8)
+def word_places(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of bytes."""
     word = np.zeros(len(b) + 2, np.int8)
     word[1:-1] = ~_WHITE[b]
     edges = np.diff(word)
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
+def _hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of data; a word's hash doesn't depend on its place."""
+    b = np.frombuffer(data, np.uint8)
+    starts, ends = word_places(b)
     size = CHUNK * 2
     while size < len(b) + 1:
         size *= 2
