@@ -2,35 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.workspace import folder
+
 # The white space of the contracts, [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_BYTES = WHITE.encode()
 # ASCII capitals and their small letters.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_local: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or a local one in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _local:
-            _local.append(tempfile.mkdtemp(prefix="twinmark-"))
-        base = f"file://{_local[0]}"
-    return f"{base.rstrip('/')}/twinmark/{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}"
+    path = f"{folder(spark)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _written[id(out)] = (out, path)
@@ -51,16 +37,16 @@ def forget(*written: DataFrame) -> None:
 SPREAD_KEYS, SPREAD_ROWS = 50_000, 4096
 
 
-def spread_join(many: DataFrame, few: DataFrame, on: list[str], total: int) -> DataFrame:
-    """many joined with few, which was written and has in rows the number of many's rows that meet each of its keys; total: many's rows.
+def spread_join(many: DataFrame, few: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
+    """many joined (inner or left) with few, which was written and has in rows the number of many's rows that meet each of its keys; total: many's rows.
 
     Keys with many rows are broadcast, so that their rows stay where they are: at most SPREAD_KEYS keys have more than total / SPREAD_KEYS rows.
     """
     most = max(SPREAD_ROWS, total // SPREAD_KEYS)
     hot = few.filter(F.col("rows") > most)
     if not hot.take(1):
-        return many.join(few, on)
-    rest = many.join(F.broadcast(hot.select(*on).distinct()), on, "left_anti").join(few.filter(F.col("rows") <= most), on)
+        return many.join(few, on, how)
+    rest = many.join(F.broadcast(hot.select(*on).distinct()), on, "left_anti").join(few.filter(F.col("rows") <= most), on, how)
     return many.join(F.broadcast(hot), on).unionByName(rest)
 
 

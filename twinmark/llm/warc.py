@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, shared_folder, shards, table
+from ..sources.workspace import folder
+from .shared import materialize, shards, spread_join, table
 
-#: Records in an archive at most; bytes of repeated digests that may be broadcast; the second of the first capture.
-ARCHIVE_RECORDS, MAX_BROADCAST_BYTES, FIRST_SECOND = 1000, 8 << 20, 1704067200
+#: Records in an archive at most, by the largest payload's bytes (None: larger ones), so that one has about 64 MB or one record; captures that a task
+#: merges, about; the second of the first capture.
+ARCHIVES, RANGE_ROWS, FIRST_SECOND = ((1 << 16, 1000), (1 << 22, 16), (None, 1)), 100_000, 1704067200
 
 # Record syntax and the profile of revisits.
 END = "\r\n\r\n"
@@ -40,8 +42,8 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     own = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"))
     own = own.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": sha1_base32(F.col("html").cast("binary"))})
     seen = own.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    again = materialize(seen.filter("n > 1").drop("n"), "again")
-    joined = own.join(F.broadcast(again) if again.count() * 64 <= MAX_BROADCAST_BYTES else again, "payload_digest", "left")
+    again = materialize(seen.filter("n > 1").withColumnRenamed("n", "rows"), "again")
+    joined = spread_join(own, again, ["payload_digest"], pages.count(), how="left").drop("rows")
     return joined.withColumn("refers_to", F.when((F.col("payload_bytes") >= min_bytes) & (F.col("page_id") > F.col("first")), F.col("first"))).drop("first")
 
 
@@ -65,10 +67,15 @@ def record(page_id: Column, url: Column, html: Column, payload_bytes: Column, pa
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Write pages (page_id, url, html) as archives under path."""
+    """Write pages (page_id, url, html) as archives under path; long payloads have archives of few records or one."""
     df = with_revisits(pages, min_bytes)
     line = record(*(F.col(c) for c in ("page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to")))
-    df.select(line.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    largest, least = df.agg(F.max("payload_bytes")).first()[0] or 0, -1
+    for most, records in ARCHIVES:
+        some = F.col("payload_bytes") > least if most is None else F.col("payload_bytes").between(least + 1, most)
+        if largest > least:
+            df.filter(some).select(line.alias("value")).write.mode("append").option("lineSep", END).option("maxRecordsPerFile", records).text(path)
+        least = most
 
 
 def url_key(url: str) -> str:
@@ -189,11 +196,13 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def capture_history(spark: SparkSession, path: str) -> DataFrame:
     """All captures of the archives under path: partitions in the order of keys, rows ordered by URL key, time and page.
 
-    A table of captures is written first: range bounds are drawn from it, and lost tasks read it again.
+    A table of captures is written first: range bounds are drawn from it, and lost tasks read it again. The number of ranges follows from the captures', so
+    that a task merges about RANGE_ROWS of them, however many there are; a key's captures may fall into several ranges.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     runs = materialize(files.mapInArrow(_runs, _CAPTURE), "runs")
-    dealt = runs.repartitionByRange(shards(runs), "url_key", "stamp", "page_id", "run", "offset")
+    ranges = max(shards(runs), -(-runs.count() // RANGE_ROWS))
+    dealt = runs.repartitionByRange(ranges, "url_key", "stamp", "page_id", "run", "offset")
     return dealt.sortWithinPartitions("run", "url_key", "stamp", F.col("page_id").asc_nulls_first(), "offset").mapInArrow(_merge, _CAPTURE)
 
 
@@ -201,10 +210,11 @@ def archive(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write pages (page_id, url, html) as WARC, read them back and return the capture history.
 
     Null html counts as empty, null urls as "". Rows with a null id are responses and no revisit refers to them, unless all of a payload's rows have
-    none. Rows that repeat an id and payload are equal records. An empty table gives no rows; other columns are ignored, whatever their names.
+    none. Rows that repeat an id and payload are equal records. A payload is held whole, and must stay below Spark's 2 GB. An empty table gives no rows;
+    other columns are ignored, whatever their names.
     """
     spark = pages.sparkSession
-    path = f"{shared_folder(spark)}/warc"
+    path = f"{folder(spark)}/warc"
     write_archives(pages, path, min_bytes)
     return capture_history(spark, path)
 
