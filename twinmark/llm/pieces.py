@@ -1,13 +1,17 @@
 """Operator 4: SentencePiece encoding and decoding by an Aho-Corasick automaton that drives a Viterbi search.
 
 One pass over the text: at each place the automaton's output links give every piece that ends there, and each
-relaxes the best score of that place from the best score of its start. Pieces hold the blank only in front, so the best
-path of a text consists of the best paths of its words with the blanks before them, and words' paths are remembered.
+relaxes the best score of that place from the best score of its start. In a unigram model a path's score is the sum of its pieces' scores.
+In a BPE model a step costs nothing if the piece before it and its own piece stay apart when the two are merged by the model's ranks, and is
+ruled out if not: a path whose neighbours all stay apart is what merging the whole text gives, so the ids are the model's own.
+Pieces hold the blank only in front, so the best path of a text consists of the best paths of its words with the blanks before them, and
+words' paths are remembered.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from functools import cache, partial
@@ -22,27 +26,29 @@ from .shared import table
 BLANK = "▁"
 #: How far below the least score a character without a piece is, as its bytes.
 UNKNOWN = 10.0
-#: Words that are remembered; words of more characters are not.
-REMEMBERED, LONG_WORD = 250_000, 64
+#: Words that are remembered (words of more characters are not), and pairs of pieces.
+REMEMBERED, LONG_WORD, REMEMBERED_PAIRS = 250_000, 64, 1_000_000
 
 _WORDS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
 
 class Pieces:
-    """A SentencePiece model's pieces with their scores, as a unigram vocabulary with byte fallback."""
+    """A SentencePiece model's pieces with their scores and byte fallback. merges: the scores are ranks of merges (BPE), not log-probabilities."""
 
-    def __init__(self, vocabulary: list[tuple[str, float]], byte_ids: list[int]):
+    def __init__(self, vocabulary: list[tuple[str, float]], byte_ids: list[int], merges: bool = False):
         """vocabulary: (piece, score) by id; a score of None marks pieces that no text gives (control, unknown, bytes). byte_ids: by byte."""
         import ahocorasick
 
-        self.byte_ids = byte_ids
+        self.byte_ids, self.merges = byte_ids, merges
         self.automaton = ahocorasick.Automaton()
         self.least = min(s for _, s in vocabulary if s is not None) - UNKNOWN
         self.apart = True
-        self.raw = [b""] * len(vocabulary)
+        self.raw, self.pieces = [b""] * len(vocabulary), [p for p, _ in vocabulary]
+        self.ranks = {p: s for p, s in vocabulary if s is not None}
+        self.stay: dict[int, bool] = {}  # by both ids
         for i, (piece, score) in enumerate(vocabulary):
             if score is not None and piece:
-                self.automaton.add_word(piece, (i, len(piece), score))
+                self.automaton.add_word(piece, (i, len(piece), 0.0 if merges else score))
                 self.apart &= BLANK not in piece.lstrip(BLANK)
                 self.raw[i] = piece.replace(BLANK, " ").encode()
         for b, i in enumerate(byte_ids):
@@ -51,8 +57,48 @@ class Pieces:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def best_path(self, text: str) -> list[int]:
-        """Ids of the path with the largest sum of scores; of such, that with the fewest pieces, then the longest last ones."""
+    def merged(self, text: str) -> list[str]:
+        """A short text's characters, merged best rank first, of equal ones the leftmost."""
+        parts, rank, none = list(text), self.ranks.get, -math.inf
+        ranks = [rank(a + b, none) for a, b in zip(parts, parts[1:])]  # of each part with the next
+        while ranks and (best := max(ranks)) > none:
+            at = ranks.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank(parts[at - 1] + parts[at], none)
+            if at < len(ranks):
+                ranks[at] = rank(parts[at] + parts[at + 1], none)
+        return parts
+
+    def _stays(self, before: int, piece: int) -> bool:
+        """Whether merging a piece and the one before it (-1: the text's start or bytes, with which nothing merges) gives them back."""
+        parts = [self.pieces[i] for i in (before, piece) if i >= 0]
+        if len(self.stay) >= REMEMBERED_PAIRS:
+            self.stay.clear()
+        out = self.stay[before << 20 | piece] = self.merged("".join(parts)) == parts
+        return out
+
+    def _stable_path(self, text: str) -> tuple[list[int], list[int]]:
+        """For each place, the last piece (-1: bytes) of the one path to it whose neighbours all stay apart, and where it starts."""
+        n, known = len(text), self.stay.get
+        piece, start = [-2] * (n + 1), list(range(-1, n))
+        piece[0] = -1
+        for last, (i, length, _) in self.automaton.iter(text):
+            end = last + 1
+            if piece[end] == -2:
+                s = end - length
+                before = piece[s]
+                if before == -2:  # no piece ends there, so the character before it goes as bytes
+                    before = -1
+                stays = known(before << 20 | i)
+                if stays or (stays is None and self._stays(before, i)):
+                    piece[end], start[end] = i, s
+        return piece, start
+
+    def _best_sums(self, text: str) -> tuple[list[int], list[int]]:
+        """For each place, the last piece (-1: bytes) of the path with the largest sum of scores, and where it starts; of equal ones, that with the
+        fewest pieces, then the longest last ones."""
         n = len(text)
         score, count, start, piece = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1), [-2] * (n + 1)
         done = 0  # places up to here are final
@@ -74,7 +120,12 @@ class Pieces:
             if piece[end] == -2 or total > score[end] or (total == score[end] and (steps < count[end] or (steps == count[end] and s < start[end]))):
                 score[end], count[end], start[end], piece[end] = total, steps, s, i
         unknown(n)
-        out = []
+        return piece, start
+
+    def best_path(self, text: str) -> list[int]:
+        """Ids of the best path of a text."""
+        piece, start = self._stable_path(text) if self.merges else self._best_sums(text)
+        out, n = [], len(text)
         while n:
             if piece[n] >= 0:
                 out.append(piece[n])
@@ -100,23 +151,11 @@ class Pieces:
         """Ids as native 32-bit integers. The text gets a blank in front, and spaces are blanks."""
         if not text:
             return b""
-        if BLANK in text or not self.apart:
-            return b"".join(self._hard(text))
         shown = BLANK + text.replace(" ", BLANK)
+        if not self.apart:
+            return np.array(self.best_path(shown), np.int32).tobytes()
         return b"".join(map(self._ids, _WORDS.findall(shown)))
 
-    def _hard(self, text: str) -> Iterator[bytes]:
-        """Texts with the blank character itself, which goes as bytes, or with pieces over several words."""
-        part: list[str] = [BLANK]
-        for c in text:
-            if c == BLANK:
-                yield np.array(self.best_path("".join(part)), np.int32).tobytes()
-                yield np.array([self.byte_ids[b] for b in BLANK.encode()], np.int32).tobytes()
-                part = []
-            else:
-                part.append(BLANK if c == " " else c)
-        yield np.array(self.best_path("".join(part)), np.int32).tobytes()
-
     def decode(self, ids: list[int]) -> bytes:
         """The text's UTF-8 bytes."""
         return b"".join(map(self.raw.__getitem__, ids))[1:]
@@ -134,7 +173,8 @@ def load(path: str) -> Pieces:
         if model.is_byte(i):
             byte_ids[int(piece[3:5], 16)] = i
         vocabulary.append((piece, model.get_score(i) if plain else None))
-    return Pieces(vocabulary, byte_ids)
+    # scores of BPE pieces are ranks, whole numbers
+    return Pieces(vocabulary, byte_ids, merges=all(s == int(s) for _, s in vocabulary if s is not None))
 
 
 _ENCODED = "doc_id long, n_pieces long, ids array<int>, decoded_sha256 string"
@@ -153,9 +193,8 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
 
 def encode_texts(docs: DataFrame, model: str) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_pieces, ids, and the SHA-256 of what the ids decode to, which is the text.
-
-    Null and empty texts have no pieces. Works row by row: repeated rows give a row each, an empty table none; other columns are ignored.
+    """One row per row of docs (doc_id, text): doc_id, n_pieces, ids, and the SHA-256 of what the ids decode to: the text, but a blank sign (U+2581)
+    in it, which to the model is a space, comes back as one. Null and empty texts have no pieces; a long text is one pass, and held whole. Works row by row: repeated rows give a row each, an empty table none; other columns are ignored.
     """
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(partial(_encode, path=model), _ENCODED)
 
