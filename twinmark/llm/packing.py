@@ -3,7 +3,8 @@
 Each partition tokenizes its documents and packs the pieces into sequences: a piece goes to the open sequence
 with the least free space that holds it, found in a bitset whose bit f says that some open sequence has f free
 places. A fixed number of sequences is open; when one more is needed the fullest closes. A look-ahead window of
-fixed size is packed longest piece first. Nothing is shuffled, and memory does not depend on the input.
+fixed size is packed longest piece first (ahead = 1: strictly online). What is still open when a partition ends, a bounded number of sequences,
+is packed anew together with that of other partitions, in the same way, so many small partitions leave no more room than few. Memory does not depend on the input.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .shared import table
+from .shared import materialize, table
 
 MAX_TOKENS, END_ID = 1024, 2
 #: Open sequences, pieces looked ahead, words whose ids are remembered.
 OPEN, AHEAD, REMEMBERED = 8192, 16384, 250_000
+#: Left-over pieces that one task packs anew, about.
+AGAIN = 200_000
 #: Words of more characters are not remembered.
 LONG_WORD = 64
 
@@ -40,6 +43,7 @@ class Packer:
         self.free = 0  # bit f: there is an open sequence with f free places
         self.by_free: list[list[int]] = [[] for _ in range(size + 1)]
         self.open = self.count = 0
+        self.closed: list[int] = []  # sequences that get no more pieces; the caller empties it
 
     def _take(self, f: int) -> int:
         number = self.by_free[f].pop()
@@ -60,13 +64,35 @@ class Packer:
         left = f - length
         if left:
             if self.open == self.bins:
-                self._take((self.free & -self.free).bit_length() - 1)
+                self.closed.append(self._take((self.free & -self.free).bit_length() - 1))
             self.by_free[left].append(number)
             self.free |= 1 << left
             self.open += 1
+        else:
+            self.closed.append(number)
         return number, self.size - f
 
 
+class _Sequences:
+    """Rows by open sequence. A row is (doc_id, piece, start, length, crc[, ids])."""
+
+    def __init__(self, size: int, bins: int, base: int):
+        self.packer, self.base, self.rows = Packer(size, bins), base, {}
+
+    def place(self, rows: list[tuple]) -> list[tuple]:
+        """Place rows, longest first; the rows of the sequences that close, with their place."""
+        out = []
+        for x in sorted(rows, key=lambda x: -x[3]):
+            number, offset = self.packer.place(x[3])
+            self.rows.setdefault(number, []).append((*x[:5], self.base + number, offset, *x[5:]))
+            while self.packer.closed:
+                out += self.rows.pop(self.packer.closed.pop())
+        return out
+
+    def rest(self) -> list[tuple]:
+        return [x for rows in self.rows.values() for x in rows]
+
+
 # Fixed value: the pre-tokens of byte-level BPE.
 _PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -173,17 +199,28 @@ def pieces_of(n: int, size: int = MAX_TOKENS) -> list[tuple[int, int]]:
 _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int, bins: int, ahead: int, ids: bool, added_tokens: bool) -> Iterator[pa.RecordBatch]:
-    base, encode, packer, waiting = TaskContext.get().partitionId() << 40, Encoder(path, added_tokens=added_tokens), Packer(size, bins), []
-    end, kinds = end_id.to_bytes(4, "little"), [pa.int64(), pa.int32(), *[pa.int64()] * 5, *([pa.binary()] if ids else [])]
+def _batch(rows: list[tuple], ids: bool, closed: bool) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5, *([pa.binary()] if ids else [])]
     names = [x.split()[0] for x in _PLACED.split(", ")] + ["ids"] * ids
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array([closed] * len(rows), pa.bool_())], [*names, "closed"])
+
+
+def _again(batches: Iterator[pa.RecordBatch], size: int, bins: int, ahead: int, ids: bool) -> Iterator[pa.RecordBatch]:
+    """Pieces of sequences that partitions left open, packed anew."""
+    sequences, waiting = _Sequences(size, bins, (1 << 62) + (TaskContext.get().partitionId() << 40)), []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns[: 7 + ids])):
+            waiting.append((*row[:5], *row[7:]))
+            if len(waiting) >= ahead:
+                yield _batch(sequences.place(waiting), ids, True)
+                waiting = []
+    yield _batch(sequences.place(waiting) + sequences.rest(), ids, True)
 
-    def placed() -> pa.RecordBatch:
-        waiting.sort(key=lambda x: -x[3])
-        rows = [(*x[:5], base + s, o, *x[5:]) for x in waiting for s, o in (packer.place(x[3]),)]
-        waiting.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
+def _pack(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int, bins: int, ahead: int, ids: bool, added_tokens: bool) -> Iterator[pa.RecordBatch]:
+    encode, sequences, waiting = Encoder(path, added_tokens=added_tokens), _Sequences(size, bins, TaskContext.get().partitionId() << 40), []
+    end = end_id.to_bytes(4, "little")
     for batch in batches:
         doc_ids = batch.column(0).to_pylist()
         texts = batch.column(1).to_pylist()
@@ -194,19 +231,29 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int,
                     own = got[4 * start : 4 * (start + length)]
                     waiting.append((doc_id, piece, start, length, zlib.crc32(own), *([own] if ids else [])))
             if len(waiting) >= ahead:
-                yield placed()
-    if waiting:
-        yield placed()
+                yield _batch(sequences.place(waiting), ids, True)
+                waiting = []
+    yield _batch(sequences.place(waiting), ids, True)
+    yield _batch(sequences.rest(), ids, False)
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = MAX_TOKENS, end_id: int = END_ID, bins: int = OPEN, ahead: int = AHEAD, ids: bool = False, added_tokens: bool = False) -> DataFrame:
     """One row per piece of each row of docs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    ids adds the piece's ids as little-endian unsigned 32-bit integers; added_tokens gives the tokenizer's added tokens in a text their own ids. Null and empty texts are their end id alone. Repeated rows
+    ids adds the piece's ids as little-endian unsigned 32-bit integers; added_tokens gives the tokenizer's added tokens in a text their own ids. Null and empty texts are their end id alone; a long
+    text is encoded whole and cut into pieces. Of sequences with the same free space the one that came to it last is taken; of pieces of one length the first in a window goes first. Repeated rows
     and null ids are documents of their own; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     run = partial(_pack, path=tokenizer, size=size, end_id=end_id, bins=bins, ahead=ahead, ids=ids, added_tokens=added_tokens)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _PLACED + ", ids binary" * ids)
+    schema = _PLACED + ", ids binary" * ids + ", closed boolean"
+    placed = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema), "placed")
+    left = placed.filter("not closed")
+    tasks = -(-left.count() // AGAIN)
+    if tasks:
+        # each partition's sequences are dealt out evenly
+        again = left.repartition(tasks, F.xxhash64("sequence_id")).mapInArrow(partial(_again, size=size, bins=bins, ahead=AGAIN, ids=ids), schema)
+        placed = placed.filter("closed").unionByName(again)
+    return placed.drop("closed")
 
 
 def default_tokenizer() -> str:
