@@ -4,6 +4,7 @@ The cascade's levels encode, in turn, the listed keys and the other level's fals
 complete universe of keys, until a level has none. For any key of the universe the first level that
 rejects it then tells membership exactly: an even level means listed, an odd one not listed. Levels are
 arrays of 64-bit words which a scalar subquery hands to the scan, so pages are neither joined nor shuffled.
+A universe whose cascade would be large is cut by hash into shards with a cascade each, and each shard's pages are judged by theirs alone.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from .shared import ascii_lower, materialize, table
 # The rules (verdict, host, path) of the query's contract.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: Bytes of all levels together up to which the cascade is sent to the executors; beyond it keys are joined.
+#: Bytes of a cascade's levels together that are sent to the executors, about; the universe is cut into as many shards as that takes.
 MAX_CASCADE_BYTES = 32 << 20
 MAX_LEVELS = 40
 
@@ -91,26 +92,32 @@ class Cascade:
         return out
 
 
-def build_cascade(universe: DataFrame, max_bytes: int = MAX_CASCADE_BYTES) -> Cascade | None:
-    """universe: distinct (key, listed). None: the levels would need more than max_bytes."""
-    counts = universe.agg(F.count(F.when(F.col("listed"), 1)).alias("r"), F.count(F.when(~F.col("listed"), 1)).alias("s")).first()
-    if not counts.r:
+def build_cascade(universe: DataFrame, listed: int, others: int) -> Cascade:
+    """universe: distinct (key, listed); listed, others: how many there are of each."""
+    if not listed:
         return Cascade([])
-    p1 = min(0.5, max(2.0**-20, counts.r / (math.sqrt(2) * max(counts.s, 1))))
     inside, outside = universe.filter("listed").select("key"), universe.filter("not listed").select("key")
-    n, levels = counts.r, []
+    n, levels = listed, []
     for number in range(1, MAX_LEVELS + 1):
-        level = Level(number, n, p1 if number == 1 else 0.5)
+        level = Level(number, n, first_rate(listed, others) if number == 1 else 0.5)
         levels.append(level)
-        if Cascade(levels).size > max_bytes:
-            return None
         level.fill(inside)
         wrong = materialize(outside.filter(level.passes(F.col("key"))), f"wrong{number}")
         n = wrong.count()
         if not n:
             return Cascade(levels)
         inside, outside = wrong, inside
-    return None
+    raise RuntimeError("the cascade didn't end; are keys distinct?")
+
+
+def first_rate(listed: int, others: int) -> float:
+    """The first level's rate of false positives that makes the whole smallest."""
+    return min(0.5, max(2.0**-20, listed / (math.sqrt(2) * max(others, 1))))
+
+
+def cascade_bytes(listed: int, others: int) -> int:
+    """About how many bytes all levels take: the later ones hold about as much again as the listed keys at one and a half bits a key and round."""
+    return math.ceil(listed * (math.log2(1 / first_rate(listed, others)) + 3) / math.log(2) / 8)
 
 
 def filter_urls(pages: DataFrame, listed: Column, rules=RULES, max_bytes: int = MAX_CASCADE_BYTES) -> DataFrame:
@@ -119,18 +126,26 @@ def filter_urls(pages: DataFrame, listed: Column, rules=RULES, max_bytes: int =
     listed: a condition on the page that puts its key (host and path) on the block list; a key is listed
     if any of its pages meets it. The cascade is built over all keys of pages. Null or malformed urls have an
     empty host and path and the key "", which is judged like any other; a condition that is null lists nothing.
-    Repeated rows and repeated or null page ids each give a row; an empty table gives none; other columns of
-    pages are ignored, whatever their names. If the cascade outgrows max_bytes, keys are looked up by a join.
+    Long urls are keys like others; of rules that fit the longest wins, and no two are as long. Repeated rows and repeated or null page ids each
+    give a row; an empty table gives none; other columns of pages are ignored, whatever their names.
     """
     own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.coalesce(listed, F.lit(False)).alias("listed"))
     key = F.concat("host", "path")
     universe = materialize(own.groupBy(key.alias("key")).agg(F.bool_or("listed").alias("listed")), "universe")
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    cascade = build_cascade(universe, max_bytes)
-    if cascade is not None:
-        judged = own.withColumn("member", cascade.contains(key))
+    counts = universe.agg(F.count(F.when(F.col("listed"), 1)).alias("r"), F.count(F.when(~F.col("listed"), 1)).alias("s")).first()
+    shards = max(1, -(-cascade_bytes(counts.r, counts.s) // max_bytes))
+    if shards == 1:
+        judged = own.withColumn("member", build_cascade(universe, counts.r, counts.s).contains(key))
     else:
-        judged = own.drop("listed").withColumn("key", key).join(universe.withColumnRenamed("listed", "member"), "key", "left")
+        shard, parts = lambda c: F.pmod(F.xxhash64(c, F.lit(-1)), F.lit(shards)), []
+        sizes = {r.shard: r for r in universe.groupBy(shard(F.col("key")).alias("shard")).agg(F.count(F.when(F.col("listed"), 1)).alias("r"), F.count("*").alias("n")).collect()}  # one row a shard
+        for i, c in sorted(sizes.items()):
+            cascade = build_cascade(universe.filter(shard(F.col("key")) == i), c.r, c.n - c.r)
+            parts.append(materialize(own.filter(shard(key) == i).withColumn("member", cascade.contains(key)), f"judged{i}"))
+        judged = parts[0]
+        for p in parts[1:]:
+            judged = judged.unionByName(p)
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     other = F.when(F.coalesce(F.col("member"), F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, other).alias("verdict"))
 
