@@ -133,10 +133,11 @@ def without(docs: DataFrame, dropped: DataFrame, on: list[str], row_bytes: int)
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
+    """The rows of docs that exact_dedup keeps, with all their columns, whatever their names."""
     digest = F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), WHITE, "").cast("binary"), 256)
-    out = without(docs.withColumn("_sha", digest).withColumn("_id", F.col("doc_id").cast("long")), exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), ["_id", "_sha"], 80)
-    return out.drop("_sha", "_id")
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), digest.alias("sha"))
+    dropped = exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    return without(rows, dropped, ["id", "sha"], 80).select("doc.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ candidates, and are folded into an odd sketch: a bitmap of parities. The populat
 estimates their similarity; pairs far below the threshold go, the rest is confirmed on full sets. Pairs are not
 made within buckets: first each class meets the leaders of its buckets (another one in each, chosen by hash), and only
 where a bucket still holds several components do its classes meet, in blocks, which give no more links than it takes to join components.
+There the classes of the bucket's largest component meet only those outside it, so a large group with few strangers isn't multiplied.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import without
 from .graphs import components
-from .shared import materialize, shards, table
+from .shared import materialize, shards, spread_join, table
 from .shingles import folded, mix, shingle_hashes
 
 #: Shingle length, per cent of similarity, bands, samples in a band, bits of a sketch.
@@ -28,7 +29,7 @@ WORDS, PERCENT, BANDS, ROWS, BITS = 5, 75, 40, 4, 512
 #: Pairs whose estimate is so far below the threshold go unconfirmed: five standard deviations.
 MARGIN = 0.22
 #: Rows of a block of a bucket; bytes of ids that may be broadcast.
-BLOCK, MAX_BROADCAST_BYTES = 1024, 8 << 20
+BLOCK, MAX_BROADCAST_BYTES = 256, 8 << 20
 
 _rng = np.random.default_rng(11)
 _A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -187,7 +188,8 @@ def similar_links(classes: DataFrame, texts: DataFrame, words: int = WORDS, perc
     buckets = classes.select(F.col("id"), F.explode("bands").alias("key"))
     # another leader in each bucket, and the count, by partial aggregation
     leaders = buckets.groupBy("key").agg(F.count("*").alias("rows"), F.min_by("id", F.xxhash64("id", "key")).alias("leader")).filter("rows > 1")
-    shared = materialize(buckets.join(leaders, "key"), "shared")
+    total = classes.count() * BANDS
+    shared = materialize(spread_join(buckets, materialize(leaders, "leaders"), ["key"], total), "shared")
     star = shared.filter("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     odd = classes.select("id", "sketch")
     near = star.join(odd.toDF("a", "sa"), "a").join(odd.toDF("b", "sb"), "b").select("a", "b", _distance(F.col("sa"), F.col("sb")).alias("z")).filter(F.col("z") <= most)
@@ -229,11 +231,16 @@ def similar_links(classes: DataFrame, texts: DataFrame, words: int = WORDS, perc
     # buckets of three or more that still hold several components
     labelled = shared.filter("rows > 2").join(known.withColumnRenamed("node", "id"), "id", "left").select("key", "rows", "id", F.coalesce("component", "id").alias("component"))
     labelled = materialize(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    rows = materialize(labelled.join(mixed, "key"), "mixed")
+    parts_of = labelled.groupBy("key", "component").agg(F.count("*").alias("own"))
+    mixed = parts_of.groupBy("key").agg(F.sum("own").alias("rows"), F.max("own").alias("most"), F.max(F.struct("own", "component"))["component"].alias("big"), F.count("*").alias("n")).filter("n > 1")
+    rows = materialize(spread_join(labelled.drop("rows"), materialize(mixed.drop("n"), "mixed_keys"), ["key"], total), "mixed")
     left = own.join(rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(partial(_sets, words=words), "id long, own binary")
-    rows = rows.join(odd, "id").join(left, "id").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # blocks 0.. are of the classes outside the largest component, those after them of the classes in it, which don't meet each other
+    rows = rows.join(odd, "id").join(left, "id").withColumns({"outer": F.ceil((F.col("rows") - F.col("most")) / BLOCK).cast("int"), "inner": F.ceil(F.col("most") / BLOCK).cast("int"), "inside": F.col("component") == F.col("big")})
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    rows = rows.withColumn("block", F.when(F.col("inside"), F.col("outer") + dealt("inner")).otherwise(dealt("outer")))
+    others = F.when(F.col("inside"), F.sequence(F.lit(0), F.col("outer") - 1)).otherwise(F.sequence(F.lit(0), F.col("outer") + F.col("inner") - 1))
+    rows = rows.withColumn("other", F.explode(others))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "sketch", "own")
     pairs = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(partial(_across, most=most, percent=percent), "a long, b long")
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
@@ -245,15 +252,16 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
 
     component_id is the smallest doc_id that links reach. Texts without words (null, empty, white space) have no shingles and no links.
     Rows that repeat an id are one node of the graph, and are kept or not together. Rows with a null id are linked with nothing, have a null
-    component_id and stay. An empty table gives no rows. Other columns of docs are ignored, whatever their names.
+    component_id and stay. Long texts are hashed in parts; their sets are whole. An empty table gives no rows. Other columns of docs are ignored, whatever their names.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     signed = materialize(texts.mapInArrow(partial(_sign, words=words), _SIGNED), "signed")
     full = signed.filter("n > 0 and doc_id is not null")
-    classes = materialize(full.groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").alias("id"), "sketch", "bands")).alias("c")).select("h1", "h2", "c.*"), "classes")
+    first = F.min(F.struct(F.col("doc_id").alias("id"), "sketch", "bands")).alias("c")
+    classes = materialize(full.groupBy("h1", "h2").agg(F.count("*").alias("rows"), first).select("h1", "h2", "rows", "c.*"), "classes")
     known = similar_links(classes.select("id", "sketch", "bands"), texts, words, percent)
     # a row that repeats an id may be in several classes: the classes' ids are joined through it
-    rows = signed.filter("n > 0 and doc_id is not null").select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "id"), ["h1", "h2"])
+    rows = spread_join(full.select("doc_id", "h1", "h2"), classes.select("h1", "h2", "rows", "id"), ["h1", "h2"], full.count()).drop("rows")
     rows = rows.join(known.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "h1", "h2", F.coalesce("component", "id").alias("component"))
     fate = rows.groupBy("doc_id").agg(F.min("component").alias("component_id"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(fate, "doc_id", "left")
@@ -262,9 +270,9 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that near_dedup keeps, with all their columns."""
-    dropped = near_dedup(docs).filter("not kept").select(F.col("doc_id").alias("_id"))
-    return without(docs.withColumn("_id", F.col("doc_id").cast("long")), dropped, ["_id"], 8).drop("_id")
+    """The rows of docs that near_dedup keeps, with all their columns, whatever their names."""
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"))
+    return without(rows, near_dedup(docs).filter("not kept").select(F.col("doc_id").alias("id")), ["id"], 8).select("doc.*")
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
