@@ -232,14 +232,40 @@ def test_pieces(spark, docs, empty):
         known = [i for i in ids if i < len(listed)]
         score = sum(listed[i][1] for i in known) + p.least * text.count("c")
         assert (score, -len(known) - text.count("c")) == pytest.approx(slow_path(p, vocabulary, text))
+
+
+def odd_pieces():
+    rng = random.Random(1)
+    parts = ["a", "b", " ", "  ", "\n", "é", "漢", "🙂", "▁", "the", " qu", "ing", "\x00", "\t", "1", "!!", "aaaa", "    ", "<s>", "<0x0A>", "Zürich"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randrange(20))) for _ in range(2000)] + ["The quick brown fox jumps over the lazy dog", "a" * 99, " " * 40, "word " * 500]
+
+
+def test_pieces_are_the_models_own(spark, docs, empty):
+    import sentencepiece
+
     model = pieces.default_model()
-    out = pieces.encode_texts(docs, model)
-    want = sorted((str(i), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in odd_texts())
-    assert sorted((str(r.doc_id), r.decoded_sha256) for r in out.collect()) == want
-    assert Counter((i, t or "") for i, t in odd_texts()) == Counter((r.doc_id, r.text) for r in pieces.decode_ids(out, model).collect())
+    theirs = sentencepiece.SentencePieceProcessor(model_file=model)
+    texts = [*odd_texts(), *enumerate(odd_pieces())]
+    out = pieces.encode_texts(frame(spark, texts), model)
+    shown = lambda t: (t or "").replace("▁", " ")
+    want = sorted((str(i), theirs.encode(t or ""), hashlib.sha256(shown(t).encode()).hexdigest()) for i, t in texts)
+    assert sorted((str(r.doc_id), r.ids, r.decoded_sha256) for r in out.collect()) == want
+    assert Counter((i, shown(t)) for i, t in texts) == Counter((r.doc_id, r.text) for r in pieces.decode_ids(out, model).collect())
     assert pieces.encode_texts(empty, model).count() == 0
 
 
+def test_pieces_of_whole_table(spark):
+    """The ids of every document of the smallest table, and the round trip."""
+    import sentencepiece
+
+    theirs = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    given = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    out = {r.doc_id: r for r in pieces.op4_sentencepiece(spark, "/root/testdata/sf0.001").collect()}
+    assert out.keys() == given.keys()
+    for i, t in given.items():
+        assert out[i].ids == theirs.encode(t) and out[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+
+
 # --- 5 ---
 def test_loser_tree():
     rng = random.Random(1)
@@ -362,9 +388,8 @@ def test_packing(spark, docs, empty):
 
     path = packing.default_tokenizer()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rows = odd_texts() + [(200, "a  b\n c <|endoftext|> don't\x1c \xa0x"), (201, "x" * 5000)]
-    out = packing.pack(frame(spark, rows), path, ids=True).collect()
+    out = packing.pack(frame(spark, rows), path, ids=True, added_tokens=True).collect()
     want = Counter()
     for i, text in rows:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
@@ -377,6 +402,8 @@ def test_packing(spark, docs, empty):
         assert filled.get(r.sequence_id, 0) == r.offset
         filled[r.sequence_id] = r.offset + r.length
     assert max(filled.values()) <= 1024 and len(filled) <= -(-sum(r.length for r in out) // 1024) + 3
+    many = packing.pack(frame(spark, [(i, "word " * (i % 700)) for i in range(900)]).repartition(150), path)
+    assert many.select("sequence_id").distinct().count() <= -(-many.agg(F.sum("length")).first()[0] // 1024) / 0.995
     assert packing.pieces_of(1024) == [(0, 1024)] and packing.pieces_of(2050) == [(0, 2), (2, 1024), (1026, 1024)]
     assert packing.pack(empty, path).count() == 0
 
@@ -386,10 +413,9 @@ def test_encoder_forgets():
 
     rng = random.Random(1)
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     parts = [" ", "  ", "\n", "\t", "a", "b", "'s", "'t", "É", "1", "!", "<|endoftext|>", "\x1c", "\xa0", "word", "\r\n"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(1500)]
-    e, got = packing.Encoder(packing.default_tokenizer(), 40), []
+    e, got = packing.Encoder(packing.default_tokenizer(), 40, added_tokens=True), []
     for i in range(0, len(texts), 7):
         got += e(texts[i : i + 7])
     assert got == [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch(texts, add_special_tokens=False)]
@@ -417,31 +443,79 @@ def test_added_tokens(spark, tmp_path):
 
 
 # --- 8 ---
-def test_lm(spark, docs, empty, tmp_path):
-    docs.write.parquet(str(tmp_path / "d"))
-    table = spark.read.parquet(str(tmp_path / "d"))
+def lm_model(rows, held):
+    """Counts of training texts' n-grams, and the probability of a word after a history."""
     tokens = lambda t: [*WORD.findall(fold(t)), None]
-    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
-    uni, bi = Counter(), Counter()
-    for i, t in odd_texts():
+    uni, bi, tri = Counter(), Counter(), Counter()
+    for i, t in rows:
         if not held(i):
-            w = tokens(t)
-            uni.update(w)
-            bi.update(zip([None, *w], w))
+            w = [None, *tokens(t)]
+            uni.update(w[1:])
+            bi.update(zip(w, w[1:]))
+            tri.update(zip(w, w[1:], w[2:]))
     n, v = sum(uni.values()), len(uni)
+
+    def p(history, x):
+        out = (uni[x] + 1) / (n + v + 1)
+        if uni[history[-1]]:
+            out = (bi[history[-1], x] + lm_scoring.WEIGHTS[0] * out) / (uni[history[-1]] + lm_scoring.WEIGHTS[0])
+        if len(history) > 1 and bi[history[-2], history[-1]]:
+            out = (tri[history[-2], history[-1], x] + lm_scoring.WEIGHTS[1] * out) / (bi[history[-2], history[-1]] + lm_scoring.WEIGHTS[1])
+        return out
+
+    return tokens, uni, n, v, p
+
+
+def held_by_id(i):
+    return zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
+
+
+@pytest.mark.parametrize("sizes", [(8 << 20, 4 << 20), (300, 100)])
+def test_lm(spark, docs, empty, sizes):
+    rows = [*odd_texts(), *((300 + i, " ".join("abcde"[(i * i + j * (j + i) // 3) % 5] for j in range(i * 9))) for i in range(40))]
+    tokens, uni, n, v, p = lm_model(rows, held_by_id)
     exp = Counter()
-    for i, t in odd_texts():
-        base = score = 0.0
+    for i, t in rows:
         w = tokens(t)
-        for h, x in zip([None, *w], w):
-            p = (uni[x] + 1) / (n + v + 1)
-            base += np.log10(p)
-            score += np.log10((bi[h, x] + lm_scoring.WEIGHT * p) / (uni[h] + lm_scoring.WEIGHT))
-        exp[(i, held(i), len(w), sum(uni[x] > 0 for x in w), n, round(base, 5), round(score, 5))] += 1
-    got = lm_scoring.lm_scores(table, lm_scoring.held_out(F.col("doc_id"))).collect()
+        score = sum(np.log10(p([None, *w[:k]], x)) for k, x in enumerate(w))
+        base = sum(np.log10((uni[x] + 1) / (n + v + 1)) for x in w)
+        exp[(i, held_by_id(i), len(w), sum(uni[x] > 0 for x in w), n, round(base, 5), round(score, 5))] += 1
+    # in another order at each scan
+    shuffled = frame(spark, rows).orderBy(F.rand())
+    got = lm_scoring.lm_scores(shuffled, lm_scoring.held_out(F.col("doc_id")), block_bytes=sizes[0], range_bytes=sizes[1]).collect()
     assert Counter((*tuple(r)[:5], round(r.base_score, 5), round(r.score, 5)) for r in got) == exp
     assert lm_scoring.lm_scores(empty, lm_scoring.held_out(F.col("doc_id"))).count() == 0
-    assert lm_scoring.lm_scores(table, F.lit(True)).filter("n_known > 0").count() == 0
+    assert lm_scoring.lm_scores(docs, F.lit(True)).filter("n_known > 0").count() == 0
+
+
+def test_lm_fails_twice():
+    """In the state of two words, a word that was seen after neither: two failure arcs, then the root's arc."""
+    words, pairs, triples = np.array([4, 3, 2, 1, 5]), (np.array([0, 1]), np.array([1, 2]), np.array([2, 1])), (np.array([0]), np.array([2]), np.array([1]))
+    a = lm_scoring.Automaton(words, pairs, triples, 4, (15, 5))
+    state = np.array([1 + 5 + 0])  # after the words 0 and 1
+    after, weight = a.step(state, np.array([3]))
+    assert after.tolist() == [1 + 3] and weight[0] == pytest.approx(np.log10(4 / (2 + 4)) + np.log10(16 / (3 + 16)) + np.log10(2 / 21))
+    after, weight = a.step(state, np.array([2]))
+    two = (1 + 16 * 3 / 21) / (3 + 16)
+    assert after.tolist() == [1 + 5 + 1] and weight[0] == pytest.approx(np.log10((1 + 4 * two) / (2 + 4)))
+
+
+def test_lm_lanes(monkeypatch):
+    """Long texts in lanes get the scores of one traversal."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(40))) for _ in range(60)]
+    tokens, _, n, v, p = lm_model(list(enumerate(texts)), lambda i: i % 3 == 0)
+    flat, sizes = lm_scoring._block_tokens(texts)
+    keys = lm_scoring.ngram_keys(flat, np.cumsum(sizes) - sizes)
+    train = np.repeat(np.arange(60) % 3 > 0, sizes)
+    inner = np.ones(len(flat), bool)
+    inner[np.cumsum(sizes) - sizes] = False
+    _, at = np.unique(np.concatenate(keys), return_inverse=True)
+    totals = np.bincount(at, weights=np.concatenate([train, train, train[inner]])).astype(np.int64)
+    want = [sum(np.log10(p([None, *w[:k]], x)) for k, x in enumerate(w)) for w in map(tokens, texts)]
+    for lane in (2, 5, 256):
+        monkeypatch.setattr(lm_scoring, "LANE", lane)
+        assert lm_scoring.score_block(texts, totals, (n, v), lm_scoring.WEIGHTS)[3] == pytest.approx(want)
 
 
 # --- 9 ---
@@ -454,7 +528,7 @@ def test_urls(spark):
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
         key = (m and (fold(m[1]), m[2])) or ("", "")
         listed[key] = listed.get(key, False) or "utm_source=" in (u or "")
-    for limit in (1 << 20, 0):
+    for limit in (1 << 20, 60):  # one cascade, and several shards
         for r in url_filters.filter_urls(df, F.col("url").rlike(url_filters.TRACKED), max_bytes=limit).collect():
             fits = [(len(h + p), h + p, says) for says, h, p in url_filters.RULES if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
             rule, verdict = max(fits)[1:] if fits else (None, "block" if listed[r.host, r.path] else "allow")

@@ -12,7 +12,7 @@ step), which refines it from one column to the next. No suffixes of different sh
 round before as least values of ranges; neighbours that agree in `length` symbols, and classes of weight two or more, are the repeated intervals.
 
 Cores with very many different windows are split by the symbols next to them: a string that starts far left of its core also holds
-the symbols before it, one that starts close to it those after it, so such windows are cut in two with longer cores, and merged in the same way.
+the symbols before it, one that starts close to it those after it, so such windows are cut in several with longer cores, and merged in the same way.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ from .shingles import word_places
 LENGTH, PASSAGE_WORDS = 400, 51
 #: Bytes hashed at once, windows merged at once, windows in a shard, different windows of one core that may meet in one task.
 CHUNK, BUNDLE, SHARD, HOT = 1 << 20, 8192, 1024, 1024
-#: Bytes of split cores' keys that may be broadcast.
+#: Into how many windows one of a very common core is cut; bytes of such cores' keys that may be broadcast.
+SPLIT = 8
 MAX_BROADCAST_BYTES = 8 << 20
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -290,7 +291,7 @@ def _runs(starts: np.ndarray, length: int, text: bytes, words: bool) -> list[int
 
 #: A class of windows: weight is the number of its windows, rows that of the rows that get its outcome.
 _CLASS = "key long, wh long, weight long, rows long, core int, off int, n int, text binary"
-_HALF = _CLASS.replace("rows long, ", "") + ", at int, of_key long, of_wh long, of_rows long"
+_PART = _CLASS.replace("rows long, ", "") + ", at int, of_key long, of_wh long, of_rows long"
 _FOUND = "key long, wh long, rows long, spans array<int>"
 _PA = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 
@@ -319,25 +320,29 @@ def _merged(batches: Iterator[pa.RecordBatch], length: int, words: bool) -> Iter
 
 
 def split_window(core: int, off: int, n: int, text: bytes, length: int, words: bool) -> Iterator[tuple[int, int, int, int, bytes, bytes]]:
-    """(byte place, core, off, n, text, core's bytes) of the windows into which a window is cut: the strings that hold the symbols after the core,
-    and those that hold the symbols before it."""
-    mid = (length - core) // 2
+    """(byte place, core, off, n, text, core's bytes) of the windows into which a window is cut. Strings that start lo to hi symbols before the core
+    all hold the lo symbols before it and side - hi after it, which make the longer core of their window."""
+    side = length - core
     sb, se = word_places(np.frombuffer(text, np.uint8)) if words else (range(len(text)), range(1, len(text) + 1))
-    for lo, hi, longer, at in ((max(0, off - mid), min(n - 1, off), length - mid, off), (0, min(n - 1, off - mid - 1), core + mid + 1, off - mid - 1)):
-        if lo <= hi:
+    width = -(-(side + 1) // SPLIT)
+    for lo in range(0, side + 1, width):
+        hi = min(lo + width - 1, side)
+        first, last = max(0, off - hi), min(n - 1, off - lo)
+        if first <= last:
+            at, longer = off - lo, core + lo + side - hi
             own = text[sb[at] : se[at + longer - 1]]
-            yield int(sb[lo]), longer, at - lo, hi - lo + 1, text[sb[lo] : se[hi + length - 1]], b" ".join(own.split()) if words else own
+            yield int(sb[first]), longer, at - first, last - first + 1, text[sb[first] : se[last + length - 1]], b" ".join(own.split()) if words else own
 
 
 def _split(batches: Iterator[pa.RecordBatch], length: int, words: bool) -> Iterator[pa.RecordBatch]:
-    """Rows of _CLASS -> their halves (_HALF), with keys of their longer cores; at: the half's first byte in the window."""
+    """Rows of _CLASS -> their parts (_PART), with keys of their longer cores; at: the part's first byte in the window."""
     hashed = lambda *x: int.from_bytes(hashlib.blake2b(b"\0".join(x), digest_size=8).digest(), "little", signed=True)
     for batch in batches:
         rows = []
         for key, wh, weight, of_rows, *window in zip(*(batch.column(i).to_pylist() for i in range(8))):
             for at, core, off, n, text, own in split_window(*window, length, words):
                 rows.append((hashed(str((key, core)).encode(), own), hashed(str(off).encode(), text), weight, core, off, n, text, at, key, wh, of_rows))
-        yield _batch(rows, _HALF)
+        yield _batch(rows, _PART)
 
 
 def _joined(spans: list) -> list[list[int]]:
@@ -385,7 +390,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, words: bool = False, h
     fetched = asked.join(texts, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("crc") == F.col("c")))
     text = F.substring("text", F.col("b0") + 1, F.col("size")).alias("text")
     level = materialize(fetched.select("key", "wh", F.col("rows").alias("weight"), "rows", F.lit(length // 2).cast("int").alias("core"), "off", "n", text), "windows")
-    found, halves = [], []  # by level
+    found, cut = [], []  # by level
     while True:
         many = materialize(level.filter(F.col("core") < length).groupBy("key").agg(F.count("*").alias("windows")).filter(F.col("windows") > hot).select("key"), "many")
         split = many.count()
@@ -396,15 +401,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, words: bool = False, h
         if not split:
             forget(level)
             break
-        half = materialize(level.join(own, "key", "left_semi").mapInArrow(partial(_split, length=length, words=words), _HALF), "halves")
+        part = materialize(level.join(own, "key", "left_semi").mapInArrow(partial(_split, length=length, words=words), _PART), "parts")
         forget(level)
         firsts = [F.first(c).alias(c) for c in ("core", "off", "n", "text")]
-        level = materialize(half.groupBy("key", "wh").agg(F.sum("weight").alias("weight"), F.count("*").alias("rows"), *firsts), "windows")
-        halves.append(half)
+        level = materialize(part.groupBy("key", "wh").agg(F.sum("weight").alias("weight"), F.count("*").alias("rows"), *firsts), "windows")
+        cut.append(part)
     out = found.pop()
-    while halves:  # what is found in a half is found in the windows that it is of
-        half = halves.pop()
-        joined = spread_join(half.drop("weight", "text"), out, ["key", "wh"], half.count())
+    while cut:  # what is found in a part is found in the windows that it is of
+        part = cut.pop()
+        joined = spread_join(part.drop("weight", "text"), out, ["key", "wh"], part.count())
         joined = joined.select(F.col("of_key").alias("key"), F.col("of_wh").alias("wh"), F.col("of_rows").alias("rows"), F.transform("spans", lambda x: x + F.col("at")).alias("spans"))
         out = materialize(joined.unionByName(found.pop()), "found")
     spans = spread_join(again, out.select("key", "wh", "rows", F.get("spans", F.lit(0)).alias("s"), F.get("spans", F.lit(1)).alias("e")), ["key", "wh"], total)
