@@ -12,7 +12,7 @@ from twinmark.llm.exact_dedup import drop_exact_duplicates
 from twinmark.llm.near_dedup import drop_near_duplicates
 from twinmark.llm.packing import default_tokenizer, pack
 from twinmark.llm.shared import materialize, table
-from twinmark.llm.suffix_dedup import drop_repeats
+from twinmark.llm.suffix_dedup import PASSAGE_WORDS, drop_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without strings of 400 bytes that occur elsewhere; a document may be left empty."""
-    return drop_repeats(docs)
+    """Documents without passages of over 50 words that occur elsewhere, whatever the white space; a document may be left empty."""
+    return drop_repeats(docs, PASSAGE_WORDS, words=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
