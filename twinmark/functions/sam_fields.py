@@ -3,13 +3,15 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import cigar
+
 FIELDS = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
 #: Largest values of the unsigned fields.
 LIMITS = {"flag": 65535, "mapq": 255}
 
 
 def parse(line: Column) -> dict[str, Column]:
-    """The eleven fields, typed, the aux fields as an array of texts, and what is wrong with the line (null: nothing)."""
+    """The eleven fields, typed, the aux fields as an array of texts, and the first thing that is wrong with the line (null: nothing)."""
     parts = F.split(F.regexp_replace(line, "\r$", ""), "\t")
     out = {name: F.get(parts, F.lit(i)) for i, name in enumerate(FIELDS)}
     wrong = F.when(F.size(parts) < 11, F.lit("fewer than 11 fields")).when(F.octet_length(out["qname"]) > 254, F.lit("QNAME is too long"))
@@ -19,10 +21,12 @@ def parse(line: Column) -> dict[str, Column]:
     for name in ("pos", "pnext", "tlen"):
         out[name] = F.when(out[name].rlike("^[+-]?[0-9]+$"), out[name].try_cast("int"))
         wrong = wrong.when(out[name].isNull(), F.lit(f"bad {name.upper()}"))
+    wrong = wrong.when(~cigar.is_valid(out["cigar"]), F.lit("bad CIGAR"))
     wrong = wrong.when((out["qual"] != "*") & (out["seq"] != "*") & (F.length(out["qual"]) != F.length(out["seq"])), F.lit("SEQ and QUAL differ in length"))
     out["pos"], out["pnext"] = F.greatest(out["pos"], F.lit(0)), F.greatest(out["pnext"], F.lit(0))
     out["rnext"] = F.when(out["rnext"] == "=", out["rname"]).otherwise(out["rnext"])
     out["aux"] = F.filter(F.slice(parts, 12, F.greatest(F.size(parts) - 11, F.lit(0))), lambda x: x != "")
+    wrong = wrong.when(~F.forall(out["aux"], aux_is_valid), F.lit("bad optional field"))
     return out | {"error": wrong}
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.flags import DUPLICATE, NOT_PRIMARY, PAIRED, UNMAPPED, has
 
-# Categories in the order of display.
+# Categories in the order of display; others come after them, and the sum last.
 CATEGORIES = ("pe_both_mapped", "orphan", "single_end", "unmapped", "both_unmapped", "mixed")
 
 
@@ -45,6 +45,18 @@ def compared(oracle: DataFrame, partner: DataFrame) -> DataFrame:
     return a.join(_side(partner).select("qname", F.col("dup").alias("partner_dup")), "qname", "full_outer")
 
 
+def compared_rows(rows: DataFrame) -> DataFrame:
+    """What compared gives, for records that carry both sides' flags: qname, flag, partner_flag, kf. One aggregation, no join."""
+    primary, dup = ~has(F.col("flag"), NOT_PRIMARY), lambda c: has(F.col(c), DUPLICATE)
+    count = lambda c: F.count(F.when(c, 1))
+    marked = lambda c: F.coalesce(F.bool_or(primary & dup(c)), F.lit(False))
+    out = rows.groupBy("qname").agg(
+        count(primary).alias("n_primary"), count(primary & has(F.col("flag"), UNMAPPED)).alias("n_unmapped"), count(primary & has(F.col("flag"), PAIRED)).alias("n_paired"),
+        F.array_sort(F.collect_list(F.when(primary, F.col("kf")))).alias("kfs"), marked("flag").alias("oracle_dup"), marked("partner_flag").alias("partner_dup"),
+    )
+    return out.select("qname", category().alias("category"), "kfs", F.when(F.size("kfs") > 0, F.array_join("kfs", "|")).alias("gkey"), "n_primary", "oracle_dup", "partner_dup")
+
+
 def check(joined: DataFrame) -> None:
     """Raise a ValueError if a name is on one side only, or no key was seen."""
     row = joined.agg(F.min(F.when(F.col("oracle_dup").isNull() | F.col("partner_dup").isNull(), F.col("qname"))).alias("lone"), F.count("gkey").alias("keys")).first()
@@ -66,11 +78,13 @@ def duplicate_sets(joined: DataFrame) -> DataFrame:
 
 
 def set_concordance(sets: DataFrame) -> DataFrame:
-    """(category, sets, concordant, discordant, concord_pct) of sets of two or more, with a TOTAL row."""
+    """(category, sets, concordant, discordant, concord_pct) of sets of two or more, in the order of CATEGORIES, with a TOTAL row."""
     same = F.count(F.when(F.col("picard_marked") == F.col("partner_marked"), 1))
     rows = sets.filter("size >= 2").rollup("category").agg(F.grouping("category").alias("_g"), F.count("*").alias("sets"), same.alias("concordant"))
     rows = rows.select(F.when(F.col("_g") == 1, "TOTAL").otherwise(F.col("category")).alias("category"), "sets", "concordant")
-    return rows.withColumn("discordant", F.col("sets") - F.col("concordant")).withColumn("concord_pct", pct(F.col("concordant"), F.col("sets")))
+    rows = rows.withColumn("discordant", F.col("sets") - F.col("concordant")).withColumn("concord_pct", pct(F.col("concordant"), F.col("sets")))
+    place = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category"))
+    return rows.orderBy(F.col("category") == "TOTAL", place == 0, place, "category")
 
 
 def singleton_marks(sets: DataFrame) -> DataFrame:
@@ -99,12 +113,13 @@ def concordance_row(sets: DataFrame, sample: str, partner: str) -> DataFrame:
 
 def orphan_triage(joined: DataFrame) -> DataFrame:
     """One row: orphans by agreement, and the disagreeing ones by cause."""
-    pairs = joined.filter("category = 'pe_both_mapped'").select(F.explode("kfs").alias("key")).distinct().withColumn("has_pair", F.lit(True))
-    orphans = joined.filter("category = 'orphan' and size(kfs) > 0").select(F.get("kfs", F.lit(0)).alias("key"), F.col("oracle_dup").alias("p"), F.col("partner_dup").alias("q"))
-    count = lambda c: F.count(F.when(c, 1))
-    p, q = F.col("p"), F.col("q")
-    keys = orphans.groupBy("key").agg(F.count("*").alias("n"), count(p).alias("pc"), count(q).alias("qc"), count(p & q).alias("both"), count(~p & ~q).alias("neither"), count(p & ~q).alias("p_only"), count(~p & q).alias("q_only"))
-    keys = keys.join(pairs, "key", "left").withColumn("hp", F.coalesce("has_pair", F.lit(False)))
+    pair, orphan = F.col("category") == "pe_both_mapped", F.col("category") == "orphan"
+    # a row for each end of a pair, which says that its key has one, and for the first end of an orphan
+    own = F.when(pair, F.col("kfs")).when(orphan, F.slice("kfs", 1, 1))
+    rows = joined.select(F.explode(own).alias("key"), orphan.alias("o"), F.col("oracle_dup").alias("p"), F.col("partner_dup").alias("q"))
+    o, p, q = F.col("o"), F.col("p"), F.col("q")
+    count = lambda c: F.count(F.when(o & c, 1))
+    keys = rows.groupBy("key").agg(F.count(F.when(o, 1)).alias("n"), count(p).alias("pc"), count(q).alias("qc"), count(p & q).alias("both"), count(~p & ~q).alias("neither"), count(p & ~q).alias("p_only"), count(~p & q).alias("q_only"), F.bool_or(~o).alias("hp"))
     tie = (F.col("n") > 1) & (F.col("pc") == F.col("qc")) & (F.col("pc") > 0) & (F.col("pc") < F.col("n")) & ~F.col("hp")
     keys = keys.withColumn("tie", tie)
     total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))

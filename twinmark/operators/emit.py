@@ -8,23 +8,25 @@ from pyspark.sql import functions as F
 from ..functions.flags import DUPLICATE, FIRST, UNMAPPED, has
 
 
-def flagged(rows: DataFrame, marks: DataFrame, remove: bool = False) -> DataFrame:
-    """rows with the duplicate bit overwritten by their template's mark, or without duplicates' rows. marks: (ord, dup)."""
-    dups = marks.filter("dup").select("ord", F.lit(True).alias("_dup"))
+def flagged(rows: DataFrame, marks: DataFrame, remove: bool = False, late: bool = False) -> DataFrame:
+    """rows with the duplicate bit overwritten by their template's mark, or without duplicates' rows. marks: (ord, dup), and class if late,
+    which adds the column late: 1 for fragments' rows, 0 for others."""
+    own = marks if late else marks.filter("dup")
+    own = own.select("ord", F.col("dup").alias("_dup"), *([(F.col("class") == "fragment").cast("int").alias("late")] if late else []))
+    out = rows.join(own, "ord", "left")
+    dup = F.coalesce("_dup", F.lit(False))
     if remove:
-        kept = rows.join(dups, "ord", "left_anti")
-        return kept.withColumn("flag", F.col("flag").bitwiseAND(~DUPLICATE))
-    out = rows.join(dups, "ord", "left")
-    bit = F.when(F.col("_dup"), F.lit(DUPLICATE)).otherwise(F.lit(0))
-    return out.withColumn("flag", F.col("flag").bitwiseAND(~DUPLICATE).bitwiseOR(bit)).select(*rows.columns)
+        out = out.filter(~dup)
+    bit = F.when(dup, F.lit(DUPLICATE)).otherwise(F.lit(0))
+    flag = F.col("flag").bitwiseAND(~DUPLICATE).bitwiseOR(bit)
+    return out.select(*(flag.alias(c) if c == "flag" else c for c in rows.columns), *([F.coalesce("late", F.lit(0)).alias("late")] if late else []))
 
 
-def in_order(rows: DataFrame, fragments_last: DataFrame | None = None) -> DataFrame:
-    """Rows in input order; with fragments_last (ord of fragments), those after all others, as an exact run writes them."""
-    if fragments_last is None:
+def in_order(rows: DataFrame) -> DataFrame:
+    """Rows in input order; those of fragments after all others if there is a column late, as an exact run writes them."""
+    if "late" not in rows.columns:
         return rows.orderBy("ord", "rec_idx")
-    late = fragments_last.select("ord", F.lit(1).alias("_late"))
-    return rows.join(late, "ord", "left").withColumn("_late", F.coalesce("_late", F.lit(0))).orderBy("_late", "ord", "rec_idx").drop("_late")
+    return rows.orderBy("late", "ord", "rec_idx").drop("late")
 
 
 def with_mate_tags(rows: DataFrame, classified: DataFrame) -> DataFrame:
@@ -47,13 +49,15 @@ def with_mate_tags(rows: DataFrame, classified: DataFrame) -> DataFrame:
     return out.select(*rows.columns)
 
 
-def numbered(ordered: DataFrame, name: str = "place") -> DataFrame:
-    """Number rows of an ordered DataFrame from 1: within partitions, plus the rows of the partitions before."""
+def numbered(rows: DataFrame, by: list[str], width: int = 1 << 16, name: str = "place") -> DataFrame:
+    """Number rows from 1 in the order of by, whose last but one column is a template's ord: by place within pieces of width templates, plus the rows of the
+    pieces before. Only one count per piece is gathered, and no branch depends on where another's sort put its bounds."""
     from pyspark.sql import Window
 
-    # the upper bits of the id are the partition, the lower ones the row
-    rows = ordered.withColumn("_id", F.monotonically_increasing_id())
-    part, row = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
-    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return rows.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + row + 1).select(*ordered.columns, name)
+    *front, order, _ = by
+    piece = rows.withColumn("_piece", F.expr(f"{order} div {width}"))
+    parts = [*front, "_piece"]
+    counts = piece.groupBy(*parts).agg(F.count("*").alias("_n"))
+    before = counts.select(*parts, F.coalesce(F.sum("_n").over(Window.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = piece.withColumn("_row", F.row_number().over(Window.partitionBy(*parts).orderBy(*by)))
+    return own.join(before, parts).withColumn(name, F.col("_before") + F.col("_row")).select(*rows.columns, name)

@@ -1,48 +1,93 @@
 """Which templates are duplicates: "the first with a key, in input order, wins".
 
-The winners are found by partial aggregation (the smallest ord of a key), so a hot key needs no sort and no task of its own; a template is a
-duplicate if it isn't among the winners, which is a join on ord.
+Each pair and each fragment has one key. The firsts are found by partial aggregation (the smallest ord of a key), so a hot key needs no sort and no task of
+its own; only keys that several templates have come back, and mark their rows by a join on the key, whose skew Spark can split. Both sides
+read the same columns of the same templates, so these are made once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The second part of a single end's key, which no pair's key has.
+ALONE = -1
+KEY = ("lib_idx", "k1", "k2")
 
-def _against(rows: DataFrame, winners: DataFrame) -> DataFrame:
-    won = winners.select("ord", F.lit(True).alias("_won"))
-    return rows.join(won, "ord", "left").select("ord", "library", F.col("_won").isNull().alias("dup"))
+LEGACY, APPROX, EXACT = "samblaster-legacy", "picard-approx", "picard-exact"
+STRATEGIES = ("strand-aware", LEGACY, APPROX, EXACT)
+
+
+def key_rows(keyed: DataFrame, strategy: str = "strand-aware") -> DataFrame:
+    """keyed's rows as ord, library, lib_idx, class, k1 and k2: a pair's two ends, or a fragment's end and ALONE; nulls for other classes."""
+    pair, fragment = F.col("class") == "pair", F.col("class") == "fragment"
+    own = F.col("lk" if strategy == LEGACY else "k")
+    return keyed.select(
+        "ord", "library", "lib_idx", "class", F.when(pair, F.col("a")).when(fragment, own).alias("k1"), F.when(pair, F.col("b")).when(fragment, F.lit(ALONE).cast("long")).alias("k2")
+    )
+
+
+def events(rows: DataFrame, strategy: str) -> DataFrame:
+    """key_rows with end: false for the rows themselves, true for further rows of a pair's single ends, which two strategies hold fragments against."""
+    if strategy not in (APPROX, EXACT):
+        return rows.withColumn("end", F.lit(False))
+    at = lambda a, b, end: F.struct(a.alias("k1"), b.alias("k2"), F.lit(end).alias("end"))
+    own, alone = at(F.col("k1"), F.col("k2"), False), F.lit(ALONE).cast("long")
+    each = F.when(F.col("class") == "pair", F.array(own, at(F.col("k1"), alone, True), at(F.col("k2"), alone, True))).otherwise(F.array(own))
+    return rows.select(*(c for c in rows.columns if c not in ("k1", "k2")), F.inline(each))
+
+
+def firsts(rows: DataFrame, strategy: str) -> DataFrame:
+    """KEY and first, the ord that is no duplicate (-1: all are), of keys that occur several times."""
+    found = events(rows, strategy).groupBy(*KEY).agg(F.min("ord").alias("first"), F.count("*").alias("n"), F.bool_or("end").alias("taken")).filter("n > 1")
+    first = F.when(F.col("taken"), F.lit(-1)).otherwise(F.col("first")) if strategy == EXACT else F.col("first")
+    return found.select(*KEY, first.alias("first"))
+
+
+def marked_rows(rows: DataFrame, strategies: dict[str, str]) -> DataFrame:
+    """key_rows with a mark for each name of strategies (name: strategy)."""
+    out, marks = rows, {}
+    for name, strategy in strategies.items():
+        out = out.join(firsts(rows, strategy).withColumnRenamed("first", f"_{name}"), list(KEY), "left")
+        marks[name] = F.coalesce(F.col(f"_{name}") != F.col("ord"), F.lit(False))
+    return out.withColumns(marks).drop(*(f"_{n}" for n in strategies))
+
+
+def mark(keyed: DataFrame, strategy: str = "strand-aware") -> DataFrame:
+    """(ord, library, dup) of all pairs and fragments."""
+    return marked_rows(key_rows(keyed.filter("class in ('pair', 'fragment')"), strategy), {"dup": strategy}).select("ord", "library", "dup")
 
 
 def mark_pairs(keyed: DataFrame) -> DataFrame:
     """(ord, library, dup) of pairs."""
-    pairs = keyed.filter("class = 'pair'")
-    return _against(pairs, pairs.groupBy("lib_idx", "a", "b").agg(F.min("ord").alias("ord")))
+    return mark(keyed.filter("class = 'pair'"))
 
 
 def mark_by_end(keyed: DataFrame, key: str = "k") -> DataFrame:
     """(ord, library, dup) of fragments among themselves, by their 5' end and strand (k) or their left end without strand (lk)."""
-    rows = keyed.filter("class = 'fragment'")
-    return _against(rows, rows.groupBy("lib_idx", key).agg(F.min("ord").alias("ord")))
+    return mark(keyed.filter("class = 'fragment'"), LEGACY if key == "lk" else "strand-aware")
 
 
-def fragment_events(keyed: DataFrame) -> DataFrame:
-    """(ord, lib_idx, library, key, is_pair): a row for each end of a pair and each fragment."""
-    pair = F.col("class") == "pair"
-    return keyed.select("ord", "lib_idx", "library", pair.alias("is_pair"), F.explode(F.when(pair, F.array("a", "b")).otherwise(F.array("k"))).alias("key"))
+def _fragments(keyed: DataFrame, strategy: str) -> DataFrame:
+    rows = key_rows(keyed.filter("class in ('pair', 'fragment')"))
+    marked = rows.filter("class = 'fragment'").join(firsts(rows, strategy).filter(F.col("k2") == ALONE), list(KEY), "left")
+    return marked.select("ord", "library", F.coalesce(F.col("first") != F.col("ord"), F.lit(False)).alias("dup"))
 
 
 def mark_approx(keyed: DataFrame) -> DataFrame:
     """Fragments against earlier fragments and the ends of earlier pairs."""
-    winners = fragment_events(keyed).groupBy("lib_idx", "key").agg(F.min("ord").alias("ord"))
-    return _against(keyed.filter("class = 'fragment'"), winners)
+    return _fragments(keyed, APPROX)
 
 
 def mark_exact(keyed: DataFrame) -> DataFrame:
     """Fragments against earlier fragments and the ends of all pairs."""
-    keys = fragment_events(keyed).groupBy("lib_idx", "key").agg(F.bool_or("is_pair").alias("taken"), F.min("ord").alias("ord"))
-    return _against(keyed.filter("class = 'fragment'"), keys.filter("not taken"))
+    return _fragments(keyed, EXACT)
+
+
+def fragment_events(keyed: DataFrame) -> DataFrame:
+    """(ord, lib_idx, library, key, is_pair): a row for each end of a pair and each fragment."""
+    pair = F.col("class") == "pair"
+    return keyed.select("ord", "lib_idx", "library", pair.alias("is_pair"), F.explode(F.when(pair, F.array("a", "b")).otherwise(F.array("k"))).alias("key"))
 
 
 def fragments_at_pair_ends(keyed: DataFrame) -> DataFrame:
@@ -51,31 +96,33 @@ def fragments_at_pair_ends(keyed: DataFrame) -> DataFrame:
     return keyed.filter("class = 'fragment'").join(ends, ["lib_idx", "k"], "left_semi").select("ord", "library")
 
 
-STRATEGIES = {"strand-aware": mark_by_end, "samblaster-legacy": lambda k: mark_by_end(k, "lk"), "picard-approx": mark_approx, "picard-exact": mark_exact}
+def distinct_pair_keys(keyed: DataFrame) -> DataFrame:
+    """(library, keys) different pairs of ends."""
+    return keyed.filter("class = 'pair'").groupBy("library", "a", "b").agg(F.lit(1).alias("one")).groupBy("library").agg(F.count("*").alias("keys"))
 
 
-def mark(keyed: DataFrame, strategy: str = "strand-aware") -> DataFrame:
-    """(ord, library, dup) of all pairs and fragments."""
-    return mark_pairs(keyed).union(STRATEGIES[strategy](keyed))
+def key_counts(keyed: DataFrame, strategy: str = "strand-aware") -> DataFrame:
+    """(library, lib_idx, class, n, dups) of each key, and of each class without keys: templates, and how many of them are duplicates.
 
+    One aggregation gives what marks would, without going back to the templates. keyed: of all classes.
+    """
+    own, end = ~F.col("end"), F.col("end")
+    kind = F.when(end, F.lit("fragment")).otherwise(F.col("class")).alias("class")
+    at = events(key_rows(keyed, strategy), strategy).select("ord", "library", "lib_idx", kind, "k1", "k2", "end")
+    n = F.count(F.when(own, 1))
+    counts = at.groupBy("library", "lib_idx", "class", "k1", "k2").agg(n.alias("n"), F.min("ord").alias("first"), F.min(F.when(own, F.col("ord"))).alias("own"), F.bool_or(end).alias("taken"))
+    return counts.select("library", "lib_idx", "class", "n", F.when(F.col("k1").isNull(), F.lit(0)).otherwise(F.col("n") - _kept(strategy)).cast("long").alias("dups"))
 
-def distinct_pair_keys(keyed: DataFrame) -> DataFrame:
-    """(library, keys) different pairs of ends."""
-    return keyed.filter("class = 'pair'").groupBy("library", "a", "b").agg(F.lit(1).alias("one")).groupBy("library").agg(F.count("*").alias("keys"))
+
+def _kept(strategy: str) -> Column:
+    """Templates of a key that are no duplicates: 1, or 0 where a pair's end takes the place."""
+    if strategy == EXACT:
+        return F.when(F.col("taken"), 0).otherwise(1)
+    return F.when(F.col("own") == F.col("first"), 1).otherwise(0)
 
 
 def duplicate_counts(keyed: DataFrame, strategy: str = "strand-aware") -> DataFrame:
-    """(library, dup_pairs, dup_fragments) without an order: rows less different keys. Not for the strategy that depends on order."""
-    if strategy == "picard-approx":
-        raise ValueError("this strategy depends on the order of templates")
-    key = "lk" if strategy == "samblaster-legacy" else "k"
-    pairs = keyed.filter("class = 'pair'").groupBy("library", "a", "b").agg(F.count("*").alias("n")).groupBy("library").agg(F.sum(F.col("n") - 1).alias("dup_pairs"))
-    if strategy == "picard-exact":
-        keys = fragment_events(keyed).groupBy("library", "key").agg(F.count(F.when(~F.col("is_pair"), 1)).alias("n"), F.bool_or("is_pair").alias("taken"))
-        lost = F.when(F.col("taken"), F.col("n")).otherwise(F.col("n") - 1)
-    else:
-        keys = keyed.filter("class = 'fragment'").groupBy("library", key).agg(F.count("*").alias("n"))
-        lost = F.col("n") - 1
-    fragments = keys.groupBy("library").agg(F.sum(lost).alias("dup_fragments"))
-    out = pairs.join(fragments, "library", "full_outer")
-    return out.select("library", F.coalesce("dup_pairs", F.lit(0)).alias("dup_pairs"), F.coalesce("dup_fragments", F.lit(0)).alias("dup_fragments"))
+    """(library, dup_pairs, dup_fragments): rows less different keys."""
+    of = lambda c: F.coalesce(F.sum(F.when(F.col("class") == c, F.col("dups"))), F.lit(0).cast("long"))
+    counts = key_counts(keyed.filter("class in ('pair', 'fragment')"), strategy)
+    return counts.groupBy("library").agg(of("pair").alias("dup_pairs"), of("fragment").alias("dup_fragments"))

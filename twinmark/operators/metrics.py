@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import __version__
 from .headers import ALL
 
+# The report's columns; the counters among them.
 COUNTERS = ("total_templates", "duplicate_templates", "mapped_pairs", "duplicate_pairs", "mapped_orphans", "duplicate_orphans", "unmapped_orphans", "unmapped_pairs", "unmated_templates")
 COLUMNS = (
     "sample", "library", "version", "total_templates", "duplicate_templates", "frac_duplicates", "mapped_pairs", "duplicate_pairs", "mapped_orphans", "duplicate_orphans",
@@ -16,28 +17,24 @@ COLUMNS = (
 
 
 def _counters() -> list[Column]:
-    of = lambda cond: F.count(F.when(cond, 1))
-    is_ = lambda c: F.col("class") == c
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+    of = lambda kind, c: total(F.when(F.col("class") == kind, F.col(c)))
     return [
-        F.count("*").alias("total_templates"), of(F.col("dup")).alias("duplicate_templates"), of(is_("pair")).alias("mapped_pairs"), of(is_("pair") & F.col("dup")).alias("duplicate_pairs"),
-        of(is_("fragment")).alias("mapped_orphans"), of(is_("fragment") & F.col("dup")).alias("duplicate_orphans"), of(is_("unmapped_orphan")).alias("unmapped_orphans"),
-        of(is_("both_unmapped")).alias("unmapped_pairs"), of(is_("unmated")).alias("unmated_templates"),
+        total(F.col("n")).alias("total_templates"), total(F.col("dups")).alias("duplicate_templates"), of("pair", "n").alias("mapped_pairs"), of("pair", "dups").alias("duplicate_pairs"),
+        of("fragment", "n").alias("mapped_orphans"), of("fragment", "dups").alias("duplicate_orphans"), of("unmapped_orphan", "n").alias("unmapped_orphans"),
+        of("both_unmapped", "n").alias("unmapped_pairs"), of("unmated", "n").alias("unmated_templates"),
     ]
 
 
-def with_marks(classified: DataFrame, marks: DataFrame) -> DataFrame:
-    """(library, lib_idx, class, dup) of all templates; those that can't be duplicates have dup false."""
-    return classified.join(marks.filter("dup").select("ord", "dup"), "ord", "left").select("ord", "library", "lib_idx", "class", F.coalesce("dup", F.lit(False)).alias("dup"))
+def library_stats(counts: DataFrame) -> DataFrame:
+    """One row per library. counts: (library, lib_idx, class, n, dups) of keys or of anything else that adds up."""
+    return counts.groupBy("library", "lib_idx").agg(*_counters()).drop("lib_idx")
 
 
-def library_stats(marked: DataFrame) -> DataFrame:
-    return marked.groupBy("library", "lib_idx").agg(*_counters()).drop("lib_idx")
-
-
-def library_stats_rollup(marked: DataFrame) -> DataFrame:
+def library_stats_rollup(counts: DataFrame) -> DataFrame:
     """The libraries' rows and their sum, All Reads."""
     total = F.grouping("library") == 1
-    return marked.rollup("library").agg(total.alias("_total"), *_counters()).select(F.when(F.col("_total"), F.lit(ALL)).otherwise(F.col("library")).alias("library"), *COUNTERS)
+    return counts.rollup("library").agg(total.alias("_total"), *_counters()).select(F.when(F.col("_total"), F.lit(ALL)).otherwise(F.col("library")).alias("library"), *COUNTERS)
 
 
 def frac_duplicates() -> Column:
@@ -62,14 +59,14 @@ def library_size(pairs: Column, unique: Column) -> Column:
     return F.when((pairs > 0) & (unique < pairs) & (unique > 0), size.cast("long")).when((pairs > 0) & (unique == 0), F.lit(0).cast("long"))
 
 
-def metrics_rows(marked: DataFrame, sample: DataFrame) -> DataFrame:
-    """The report's rows: each library with templates, or one row All Reads of zeros."""
-    own = library_stats(marked)
-    zeros = own.agg(F.count("*").alias("_n")).filter("_n = 0").select(F.lit(ALL).alias("library"), *(F.lit(0).cast("long").alias(c) for c in COUNTERS))
-    rows = own.unionByName(zeros).join(F.broadcast(sample))
+def metrics_rows(counts: DataFrame, sample: DataFrame) -> DataFrame:
+    """The report's rows, in the order of libraries, unknown ones first: each library with templates, or one row All Reads of zeros."""
     size = library_size(F.col("mapped_pairs"), F.col("mapped_pairs") - F.col("duplicate_pairs"))
+    rows = counts.groupBy("library", "lib_idx").agg(*_counters())
+    none = counts.agg(F.count("*").alias("_n")).filter("_n = 0").select(F.lit(ALL).alias("library"), F.lit(0).alias("lib_idx"), *(F.lit(0).cast("long").alias(c) for c in COUNTERS))
+    rows = rows.unionByName(none).join(F.broadcast(sample))
     rows = rows.withColumns({"version": F.lit(__version__), "frac_duplicates": frac_duplicates(), "estimated_library_size": size})
-    return rows.select(*COLUMNS)
+    return rows.orderBy("lib_idx").select(*COLUMNS)
 
 
 def clamped_templates(keyed: DataFrame) -> DataFrame:

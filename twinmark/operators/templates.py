@@ -97,8 +97,8 @@ def check(classified: DataFrame, rows: DataFrame) -> None:
         raise ValueError(f"template {rows.filter(F.col('ord') == wrong[0].ord).first().qname} {what}")
 
 
-def keyed(classified: DataFrame, max_read_length: int = 1000, directional: bool = False, legacy: bool = False) -> DataFrame:
-    """Pairs and fragments: ord, class, library, lib_idx, a and b (a pair's ends), k (a fragment's end), lk (its left end), clamped.
+def keyed(classified: DataFrame, max_read_length: int = 1000, directional: bool = False, legacy: bool = False, every: bool = False) -> DataFrame:
+    """Pairs and fragments: ord, class, library, lib_idx, a and b (a pair's ends), k (a fragment's end), lk (its left end), clamped; with every, all classes.
 
     Ends are packed numbers. A pair's ends are ordered by unclamped position, then contig, then strand, unless directional.
     """
@@ -110,7 +110,7 @@ def keyed(classified: DataFrame, max_read_length: int = 1000, directional: bool
     moved = (m["lkpos"] != m["lpos"]) if legacy else (m["kpos"] != m["p5"])
     clamped = F.when(pair, (f["kpos"] != f["p5"]) | (s["kpos"] != s["p5"])).otherwise(moved)
     lk = F.shiftleft(m["seq_num"].cast("long"), 33).bitwiseOR(F.shiftleft((m["lkpos"] + max_read_length).cast("long"), 1))
-    return classified.filter(pair | fragment).select(
+    return (classified if every else classified.filter(pair | fragment)).select(
         "ord", "class", "library", "lib_idx", F.when(pair, F.when(swap, pack(s)).otherwise(pack(f))).alias("a"), F.when(pair, F.when(swap, pack(f)).otherwise(pack(s))).alias("b"),
         F.when(fragment, pack(m)).alias("k"), F.when(fragment, lk).alias("lk"), clamped.alias("clamped"),
     )

@@ -44,29 +44,33 @@ class MarkDuplicates:
 
     @cached_property
     def keyed(self) -> DataFrame:
+        return self._keyed(every=False)
+
+    def _keyed(self, every: bool) -> DataFrame:
         o = self.options
-        return templates.keyed(self.classified, o.max_read_length, o.methylation_mode == "directional", o.single_end_strategy == "samblaster-legacy")
+        return templates.keyed(self.classified, o.max_read_length, o.methylation_mode == "directional", o.single_end_strategy == marking.LEGACY, every)
 
     @cached_property
     def marks(self) -> DataFrame:
-        return marking.mark(self.keyed, self.options.single_end_strategy)
+        """ord, library, class and dup of pairs and fragments."""
+        strategy = self.options.single_end_strategy
+        return marking.marked_rows(marking.key_rows(self.keyed, strategy), {"dup": strategy}).select("ord", "library", "class", "dup")
 
-    @property
-    def marked(self) -> DataFrame:
-        return metrics.with_marks(self.classified, self.marks)
+    @cached_property
+    def counts(self) -> DataFrame:
+        """Templates and duplicates by library, class and key."""
+        return marking.key_counts(self._keyed(every=True), self.options.single_end_strategy)
 
     @property
     def metrics(self) -> DataFrame:
-        return metrics.metrics_rows(self.marked, headers.sample_names(self.read_groups, self.options.sample))
+        return metrics.metrics_rows(self.counts, headers.sample_names(self.read_groups, self.options.sample))
 
     def records(self) -> DataFrame:
         """All records with the options applied, in output order."""
         rows = self.rows
         if self.options.add_mate_tags:
             rows = self.with_mate_tags()
-        out = emit.flagged(rows, self.marks, self.options.remove_dups)
-        late = self.classified.filter("class = 'fragment'") if self.options.single_end_strategy == "picard-exact" else None
-        return emit.in_order(out, late)
+        return emit.in_order(emit.flagged(rows, self.marks, self.options.remove_dups, self.options.single_end_strategy == marking.EXACT))
 
     def check(self) -> None:
         """Raise a ValueError for templates that can't be marked and for records on unknown contigs."""

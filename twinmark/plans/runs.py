@@ -63,7 +63,7 @@ def mark(spark: SparkSession, args, argv: list[str]) -> int:
     bam.write(records, args.output, out_lines, options.compression_level)
     clamped = run.clamped()
     if not args.quiet:
-        total = run.marked.agg(F.count("*"), F.count(F.when(F.col("dup"), 1))).first()
+        total = run.counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("dups"), F.lit(0))).first()
         print(f"marked {total[1]} of {total[0]} templates", file=sys.stderr)
     if clamped:
         print(f"error: {clamped} templates have ends beyond their contig; raise --max-read-length", file=sys.stderr)

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from .functions import cigar as C
 from .functions import positions as P
 from .functions import sam_fields as S
-from .functions.flags import UNMAPPED, has
+from .functions.flags import DUPLICATE, UNMAPPED, has
 from .operators import compare, emit, headers, marking, metrics, templates
 from .plans import fixture
 from .plans.marking import MarkDuplicates
 from .plans.options import Options
-from .sources import timing
+from .sources import bam, sam, timing, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,8 +86,8 @@ _FRAGMENTS = {
 }
 
 
-def _marks_cte(strategy: str = "strand-aware", name: str = "mk") -> str:
-    return f"{name} AS ({_pairs_sql()} UNION ALL {_FRAGMENTS[strategy]})"
+def _marks_cte(strategy: str = "strand-aware", name: str = "mk", directional: bool = False) -> str:
+    return f"{name} AS ({_pairs_sql(directional)} UNION ALL {_FRAGMENTS[strategy]})"
 
 
 _STATS_LIST = ", ".join(
@@ -171,9 +171,68 @@ def _lines(spark, d):
     return _rows(spark, d).select("ord", "rec_idx", F.concat(core, rg, nm).alias("value"))
 
 
-@query(f"{_BASE} SELECT ord, rec_idx, {_LINE_SQL} AS line FROM al")
+_FILE_HEADER = ("@HD\tVN:1.6\tSO:unsorted\tGO:query", *(f"@SQ\tSN:{n}\tLN:{size}" for n, size, _ in fixture.CONTIGS))
+_LINE_NO = "CAST(row_number() OVER (ORDER BY ord, rec_idx) - 1 AS BIGINT)"
+
+
+@query(f"{_BASE} SELECT {_LINE_NO} + {len(_FILE_HEADER)} AS line_no, {_LINE_SQL} AS line FROM al")
 def scan_sam_lines(spark, d):
-    return _lines(spark, d).withColumnRenamed("value", "line")
+    """The lines of a file that is written first, numbered by the scan."""
+    path = workspace.folder(spark)
+    head = spark.createDataFrame([("\n".join(_FILE_HEADER),)], "value string").coalesce(1)
+    head.union(_lines(spark, d).orderBy("ord", "rec_idx").select("value")).write.text(path)
+    return sam.scan(spark, path).filter(~F.col("value").startswith("@")).select("line_no", F.col("value").alias("line"))
+
+
+_SAM_FIELDS = "qname, flag, rname, pos, mapq, cigar, rname AS rnext, pos AS pnext, CAST(0 AS INT) AS tlen, '*' AS seq, '*' AS qual"
+_AUX_SQL = "CASE WHEN rg IS NULL THEN '' ELSE 'RG:Z:' || rg || ' ' END || 'NM:i:' || CAST((ord * 37) % 70000 - 300 AS STRING) || ' XB:B:s,1,' || CAST(-(ord % 9) AS STRING)"
+
+
+@query(f"{_BASE} SELECT {_LINE_NO} AS row_no, {_SAM_FIELDS}, {_AUX_SQL} AS aux FROM al")
+def scan_bam(spark, d):
+    """The records of a BAM file that is written first, in ranges of 1 MB, numbered in the file's order."""
+    path = f"{workspace.folder(spark)}.bam"
+    parsed = S.parse(F.col("value"))
+    rows = _lines(spark, d).select("ord", "rec_idx", *(parsed[c].alias(c) for c in (*S.FIELDS, "aux")))
+    bam.write(rows.orderBy("ord", "rec_idx"), path, list(_FILE_HEADER), 1)
+    back = sam.numbered(bam.read(spark, path, splitBytes=str(1 << 20)), ["split"], "row")
+    return back.select(F.col("line_no").alias("row_no"), *S.FIELDS, F.array_join("aux", " ").alias("aux"))
+
+
+@query(f"{_BASE} SELECT 'chr' || CAST(i AS STRING) AS name, CAST(CASE i WHEN 1 THEN 100000 ELSE 50000 END AS BIGINT) AS length, CAST(n AS BIGINT) AS records FROM (SELECT count(*) AS n FROM al), range(1, 3) r(i)")
+def bam_header(spark, d):
+    """The references of a BAM file that is written first, and its records' number."""
+    path = f"{workspace.folder(spark)}.bam"
+    parsed = S.parse(F.col("value"))
+    bam.write(_lines(spark, d).select(*(parsed[c].alias(c) for c in (*S.FIELDS, "aux"))), path, list(_FILE_HEADER))
+    _, refs, _ = bam.read_header(path.removeprefix("file://"))
+    n = bam.read(spark, path).agg(F.count("*").alias("records"))
+    return n.join(F.broadcast(spark.createDataFrame(refs, "name string, length long"))).select("name", "length", "records")
+
+
+# what is wrong with a line by its template's number, and how it gets so
+_BROKEN = ((3, "bad CIGAR", "cigar", "10Q"), (5, "bad CIGAR", "cigar", "5M0M"), (7, "bad CIGAR", "cigar", "268435456M"), (11, "bad FLAG", "flag", "1x"), (13, "bad MAPQ", "mapq", "256"), (17, "bad POS", "pos", "?"), (19, "bad optional field", "last", "NM:i:xx"),
+           (23, "bad optional field", "last", "garbage"), (29, "bad optional field", "last", "XB:B:C,1,256"), (31, "bad optional field", "last", "XA:A:ab"), (37, "fewer than 11 fields", "all", "short\tline"))
+
+
+@query(f"{_BASE} SELECT ord, rec_idx, CASE {' '.join(f'WHEN ord % 41 = {i} THEN {chr(39)}{e}{chr(39)}' for i, e, _, _ in _BROKEN)} END AS error FROM al")
+def sam_errors(spark, d):
+    """What the parser says about lines of which some are broken."""
+    at = {"flag": 1, "pos": 3, "mapq": 4, "cigar": 5, "last": 12}
+    parts = F.split("value", "\t")
+    last = F.size(parts) - 1
+
+    def broken(where: str, text: str):
+        if where == "all":
+            return F.lit(text)
+        place = last if where == "last" else F.lit(at[where])
+        return F.array_join(F.transform(parts, lambda x, i: F.when(i == place, F.lit(text)).otherwise(x)), "\t")
+
+    line = F.when(F.lit(False), F.lit(""))
+    for i, _, where, text in _BROKEN:
+        line = line.when(F.col("ord") % 41 == i, broken(where, text))
+    rows = _lines(spark, d).withColumn("value", line.otherwise(F.col("value")))
+    return rows.select("ord", "rec_idx", S.parse(F.col("value"))["error"].alias("error"))
 
 
 @query(f"{_BASE} SELECT ord, rec_idx, qname, flag, rname, pos, mapq, cigar, rname AS rnext, pos AS pnext, CAST(0 AS INT) AS tlen, '*' AS seq, '*' AS qual, CAST(NULL AS VARCHAR) AS error FROM al")
@@ -305,7 +364,8 @@ def frag_events(spark, d):
     return marking.fragment_events(_run(spark, d).keyed).select("ord", "library", "is_pair", "key")
 
 
-@query(f"{_TEMPLATES}, ev AS ({_EVENTS}) SELECT ord, library FROM ev WHERE NOT is_pair AND EXISTS (SELECT 1 FROM ev p WHERE p.is_pair AND p.library = ev.library AND p.seq_num = ev.seq_num AND p.kpos = ev.kpos AND p.rev = ev.rev)")
+@query(f"""{_TEMPLATES}, ev AS ({_EVENTS}), pe AS (SELECT DISTINCT library || ':' || seq_num || ':' || kpos || ':' || rev AS key FROM ev WHERE is_pair)
+  SELECT ord, library FROM ev WHERE NOT is_pair AND library || ':' || seq_num || ':' || kpos || ':' || rev IN (SELECT key FROM pe)""")
 def frag_semi_pair_ends(spark, d):
     return marking.fragments_at_pair_ends(_run(spark, d).keyed)
 
@@ -342,9 +402,10 @@ def emit_removed(spark, d):
 @query(f"""{_TEMPLATES}, {_marks_cte('picard-exact')} SELECT al.ord, rec_idx, CAST((flag & ~1024) | CASE WHEN dup THEN 1024 ELSE 0 END AS INT) AS flag, al.qname,
   CAST(row_number() OVER (ORDER BY CASE WHEN class = 'fragment' THEN 1 ELSE 0 END, al.ord, rec_idx) AS BIGINT) AS place FROM al JOIN cl USING (ord) LEFT JOIN mk USING (ord)""")
 def emit_exact_order(spark, d):
-    """Records in the exact strategy's order, with their place in it: a range sort, then each partition's rows before summed up."""
-    out = _run(spark, d, single_end_strategy="picard-exact").records().select("ord", "rec_idx", "flag", "qname")
-    return emit.numbered(out)
+    """Records of the exact strategy with their place in its order."""
+    run = _run(spark, d, single_end_strategy="picard-exact")
+    rows = emit.flagged(run.rows.select("ord", "rec_idx", "flag", "qname"), run.marks, late=True)
+    return emit.numbered(rows, ["late", "ord", "rec_idx"]).drop("late")
 
 
 @query(f"""{_TEMPLATES}, e AS (SELECT ord, f, s FROM ke WHERE f IS NOT NULL AND s IS NOT NULL AND class IN ('pair', 'fragment'))
@@ -357,12 +418,12 @@ def mate_tags(spark, d):
 # --- metrics ---------------------------------------------------------------------------------------------------
 @query(f"{_stats_cte()} SELECT * FROM st")
 def library_stats(spark, d):
-    return metrics.library_stats(_run(spark, d).marked)
+    return metrics.library_stats(_run(spark, d).counts)
 
 
 @query(f"{_stats_cte()} SELECT CASE WHEN grouping(library) = 1 THEN 'All Reads' ELSE library END AS library, {_STATS_LIST} FROM md GROUP BY ROLLUP (library)")
 def library_stats_rollup(spark, d):
-    return metrics.library_stats_rollup(_run(spark, d).marked)
+    return metrics.library_stats_rollup(_run(spark, d).counts)
 
 
 _FRAC = "CAST(CASE WHEN mapped_orphans + 2 * mapped_pairs = 0 THEN 0 ELSE (duplicate_orphans + 2 * duplicate_pairs) / (mapped_orphans + 2 * mapped_pairs) END AS DOUBLE)"
@@ -379,33 +440,50 @@ def metrics_rows(spark, d):
     return _run(spark, d).metrics.withColumn("frac_duplicates", F.round("frac_duplicates", 12))
 
 
+@query(f"{_stats_cte()} SELECT CAST(row_number() OVER (ORDER BY CASE WHEN library = 'Unknown Library' THEN 0 ELSE 1 END, library) AS INT) AS place, library FROM st")
+def metrics_in_order(spark, d):
+    """The report's rows as they come, with their places: libraries in order, unknown ones first."""
+    rows = _run(spark, d).metrics.select("library").collect()  # one row a library
+    return spark.createDataFrame([(i, r.library) for i, r in enumerate(rows, 1)], "place int, library string")
+
+
 @query(f"{_stats_cte()} SELECT library, round({_FRAC}, 12) AS frac_duplicates FROM st")
 def frac_duplicates(spark, d):
-    return metrics.library_stats(_run(spark, d).marked).select("library", F.round(metrics.frac_duplicates(), 12).alias("frac_duplicates"))
+    return metrics.library_stats(_run(spark, d).counts).select("library", F.round(metrics.frac_duplicates(), 12).alias("frac_duplicates"))
 
 
 @query(_RECURSIVE(f"{_stats_cte()}, {_SIZE} SELECT st.library, estimated_library_size FROM st LEFT JOIN size USING (library)"))
 def library_size(spark, d):
-    stats = metrics.library_stats(_run(spark, d).marked)
+    stats = metrics.library_stats(_run(spark, d).counts)
     return stats.select("library", metrics.library_size(F.col("mapped_pairs"), F.col("mapped_pairs") - F.col("duplicate_pairs")).alias("estimated_library_size"))
 
 
 # --- comparison ------------------------------------------------------------------------------------------------
-def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Oracle: exact marks, with keys; partner: strand-aware marks."""
-    exact, own = _run(spark, d, single_end_strategy="picard-exact"), _run(spark, d)
+def _sides(spark, d, **options) -> tuple[DataFrame, DataFrame]:
+    """Oracle: exact marks, with keys; partner: strand-aware marks, or with other options."""
+    exact, own = _run(spark, d, single_end_strategy="picard-exact"), _run(spark, d, **options)
     oracle = emit.flagged(exact.ends, exact.marks)
     oracle = oracle.withColumn("kf", compare.end_key(oracle)).select("qname", "flag", "kf")
     return oracle, emit.flagged(own.rows.select("ord", "qname", "flag"), own.marks).select("qname", "flag")
 
 
 def _joined(spark, d) -> DataFrame:
-    return compare.compared(*_sides(spark, d))
+    """The same comparison with both marks from one pass over the templates, carried by the same records."""
+    run = _run(spark, d)
+    marks = marking.marked_rows(marking.key_rows(run.keyed), {"p": marking.EXACT, "q": "strand-aware"}).filter("p or q").select("ord", "p", "q")
+    bit = lambda c: F.when(F.col(c), F.lit(DUPLICATE)).otherwise(F.lit(0))
+    own = F.col("flag").bitwiseAND(~DUPLICATE)
+    rows = run.ends.withColumn("kf", compare.end_key(run.ends)).join(marks, "ord", "left")
+    return compare.compared_rows(rows.select("qname", own.bitwiseOR(bit("p")).alias("flag"), own.bitwiseOR(bit("q")).alias("partner_flag"), "kf"))
+
 
+_LONE = ("ord % 97 <> 5", "ord % 89 <> 3")  # rows that the sides keep where names are on one side only
 
-_SIDES = f"""{_TEMPLATES}, {_marks_cte('picard-exact', 'mo')}, {_marks_cte('strand-aware', 'mp')},
-so AS (SELECT qname, (flag & ~1024) | CASE WHEN dup THEN 1024 ELSE 0 END AS flag, CASE WHEN (flag & 2308) = 0 THEN concat_ws(':', seq_num, kpos, CASE WHEN rev THEN 'R' ELSE 'F' END) END AS kf FROM en LEFT JOIN mo USING (ord)),
-sp AS (SELECT qname, (flag & ~1024) | CASE WHEN dup THEN 1024 ELSE 0 END AS flag FROM al LEFT JOIN mp USING (ord)),
+
+def _sides_sql(directional: bool = False, kept: tuple[str, str] = ("true", "true")) -> str:
+    return f"""{_TEMPLATES}, {_marks_cte('picard-exact', 'mo')}, {_marks_cte('strand-aware', 'mp', directional)},
+so AS (SELECT qname, (flag & ~1024) | CASE WHEN dup THEN 1024 ELSE 0 END AS flag, CASE WHEN (flag & 2308) = 0 THEN concat_ws(':', seq_num, kpos, CASE WHEN rev THEN 'R' ELSE 'F' END) END AS kf FROM en LEFT JOIN mo USING (ord) WHERE {kept[0]}),
+sp AS (SELECT qname, (flag & ~1024) | CASE WHEN dup THEN 1024 ELSE 0 END AS flag FROM al LEFT JOIN mp USING (ord) WHERE {kept[1]}),
 go AS (SELECT qname, count(*) FILTER (WHERE (flag & 2304) = 0) AS n, count(*) FILTER (WHERE (flag & 2304) = 0 AND (flag & 4) <> 0) AS u, count(*) FILTER (WHERE (flag & 2304) = 0 AND (flag & 1) <> 0) AS pd,
   coalesce(bool_or((flag & 1024) <> 0) FILTER (WHERE (flag & 2304) = 0), false) AS od, list_sort(list(kf) FILTER (WHERE kf IS NOT NULL AND (flag & 2304) = 0)) AS kfs FROM so GROUP BY qname),
 gp AS (SELECT qname, coalesce(bool_or((flag & 1024) <> 0) FILTER (WHERE (flag & 2304) = 0), false) AS pd2 FROM sp GROUP BY qname),
@@ -414,6 +492,9 @@ jn AS (SELECT qname, CASE WHEN n = 0 THEN 'no_primary' WHEN n = 1 THEN CASE WHEN
   FROM go FULL JOIN gp USING (qname)),
 se AS (SELECT gkey, CAST(count(*) AS BIGINT) AS size, CAST(count(*) FILTER (WHERE oracle_dup) AS BIGINT) AS picard_marked, CAST(count(*) FILTER (WHERE partner_dup) AS BIGINT) AS partner_marked,
   CASE WHEN count(DISTINCT category) > 1 THEN 'mixed' ELSE min(category) END AS category FROM jn WHERE gkey IS NOT NULL GROUP BY gkey)"""
+
+
+_SIDES = _sides_sql()
 _PCT = lambda a, b: f"CASE WHEN {b} = 0 THEN '0' ELSE printf('%.6f', 100.0::DOUBLE * {a} / {b}) END"
 
 
@@ -427,9 +508,14 @@ def cmp_group_key(spark, d):
     return _joined(spark, d).select("qname", "gkey")
 
 
-@query(f"{_SIDES} SELECT CAST(count(*) AS BIGINT) AS n_groups, CAST(sum(n) AS BIGINT) AS n_primary, CAST(count(*) FILTER (WHERE partner_dup IS NULL) AS BIGINT) AS oracle_only, CAST(count(*) FILTER (WHERE oracle_dup IS NULL) AS BIGINT) AS partner_only FROM jn")
+@query(f"{_sides_sql(kept=_LONE)} SELECT CAST(count(*) AS BIGINT) AS n_groups, CAST(sum(n) AS BIGINT) AS n_primary, CAST(count(*) FILTER (WHERE partner_dup IS NULL) AS BIGINT) AS oracle_only, CAST(count(*) FILTER (WHERE oracle_dup IS NULL) AS BIGINT) AS partner_only FROM jn")
 def cmp_join(spark, d):
-    return compare.join_counts(_joined(spark, d))
+    """Two datasets that lack some of each other's names."""
+    exact, own = _run(spark, d, single_end_strategy="picard-exact"), _run(spark, d)
+    oracle = emit.flagged(exact.ends, exact.marks).filter(_LONE[0])
+    oracle = oracle.withColumn("kf", compare.end_key(oracle)).select("qname", "flag", "kf")
+    partner = emit.flagged(own.rows.select("ord", "qname", "flag"), own.marks).filter(_LONE[1])
+    return compare.join_counts(compare.compared(oracle, partner.select("qname", "flag")))
 
 
 @query(f"{_SIDES} SELECT * FROM se")
@@ -443,6 +529,14 @@ def cmp_set_concordance(spark, d):
     return compare.set_concordance(compare.duplicate_sets(_joined(spark, d)))
 
 
+@query(f"""{_SIDES}, g AS (SELECT CASE WHEN grouping(category) = 1 THEN 'TOTAL' ELSE category END AS category FROM se WHERE size >= 2 GROUP BY ROLLUP (category))
+  SELECT CAST(row_number() OVER (ORDER BY category = 'TOTAL', CASE category WHEN 'pe_both_mapped' THEN 1 WHEN 'orphan' THEN 2 WHEN 'single_end' THEN 3 WHEN 'unmapped' THEN 4 WHEN 'both_unmapped' THEN 5 WHEN 'mixed' THEN 6 ELSE 7 END, category) AS INT) AS place, category FROM g""")
+def cmp_categories_in_order(spark, d):
+    """The concordance report's rows as they come, with their places."""
+    rows = compare.set_concordance(compare.duplicate_sets(_joined(spark, d))).select("category").collect()  # one row a category
+    return spark.createDataFrame([(i, r.category) for i, r in enumerate(rows, 1)], "place int, category string")
+
+
 @query(f"""{_SIDES}, g AS (SELECT CAST(count(*) FILTER (WHERE size >= 2 AND category = 'pe_both_mapped') AS BIGINT) AS pe_sets, CAST(count(*) FILTER (WHERE size >= 2 AND category = 'pe_both_mapped' AND picard_marked = partner_marked) AS BIGINT) AS pe_concordant,
   CAST(count(*) FILTER (WHERE size >= 2 AND category = 'orphan') AS BIGINT) AS orphan_sets, CAST(count(*) FILTER (WHERE size >= 2 AND category = 'orphan' AND picard_marked = partner_marked) AS BIGINT) AS orphan_concordant,
   CAST(coalesce(sum(partner_marked) FILTER (WHERE size < 2), 0) AS BIGINT) AS picard_singletons_partner_marked FROM se)
@@ -465,9 +559,10 @@ def cmp_inheritance(spark, d):
     return compare.inheritance(_sides(spark, d)[1], "strand-aware")
 
 
-@query(f"{_SIDES} SELECT gkey AS group_key, size, picard_marked, partner_marked FROM se WHERE size >= 2 AND category = 'pe_both_mapped' AND picard_marked <> partner_marked")
+@query(f"{_sides_sql(directional=True)} SELECT gkey AS group_key, size, picard_marked, partner_marked FROM se WHERE size >= 2 AND category = 'pe_both_mapped' AND picard_marked <> partner_marked")
 def cmp_pe_discordant_dump(spark, d):
-    return compare.discordant_pairs(compare.duplicate_sets(_joined(spark, d)))
+    """Against a partner that tells the strands' order apart."""
+    return compare.discordant_pairs(compare.duplicate_sets(compare.compared(*_sides(spark, d, methylation_mode="directional"))))
 
 
 # --- benchmark reports -------------------------------------------------------------------------------------------
