@@ -180,6 +180,17 @@ def test_rules_learn():
     assert quality_rules.learn([]) == [] and quality_rules.learn([r | {"bad": 0} for r in rows]) == []
 
 
+def test_rules_learn_conjunctions():
+    """Bad is what has much of two things: neither alone tells."""
+    rng, rows = random.Random(4), []
+    for _ in range(3000):
+        upper, shouts = rng.randrange(1000), rng.randrange(1000)
+        rows.append(dict.fromkeys(quality_rules.FEATURES, 0) | {"upper_pm": upper, "shouts_pm": shouts, "bad": int(upper > 600 and shouts > 500)})
+    rules = quality_rules.learn(rows)
+    said = [any(quality_rules.covers(r, row) for r in rules) for row in rows]
+    assert any(len({t.feature for t in r}) > 1 for r in rules) and sum(s == bool(r["bad"]) for s, r in zip(said, rows)) > 0.98 * len(rows)
+
+
 def test_rules_fit(spark, docs):
     labels = spark.createDataFrame([(i, q, 0) for i, q in ((100, 1), (101, 0), (101, 1), (None, 0), (102, None))], "doc_id long, quality int, toxic int")
     assert quality_rules.fit(docs, labels) == [] and quality_rules.fit(docs, labels.limit(0)) == []
@@ -274,6 +285,19 @@ def test_loser_tree():
         assert list(warc.LoserTree(lists, lambda x: x)) == sorted(x for r in lists for x in r)
 
 
+def test_warc_of_long_payloads(spark, tmp_path, monkeypatch):
+    """Long payloads have archives of few records, and all come back."""
+    import os
+
+    monkeypatch.setattr(warc, "ARCHIVES", ((10, 100), (1000, 3), (None, 1)))
+    sizes = [5] * 30 + [500] * 9 + [5000] * 4
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", chr(97 + i % 26) * n + str(i)) for i, n in enumerate(sizes)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, str(tmp_path / "w"))
+    found = sorted((tmp_path / "w" / f).read_bytes().count(b"WARC/1.1") for f in os.listdir(tmp_path / "w") if f.startswith("part-"))
+    assert found == [1] * 4 + [3] * 3 + [30]
+    assert {r.page_id: r.payload_bytes for r in warc.capture_history(spark, str(tmp_path / "w")).collect()} == {i: n + len(str(i)) for i, n in enumerate(sizes)}
+
+
 def test_warc(spark):
     import base64
 
@@ -319,6 +343,31 @@ def test_near_dedup(spark, docs, empty):
     assert len({find(i) for i in range(100, 120)}) < 20
 
 
+def test_near_dedup_at_the_threshold(spark):
+    """1,200 pairs with similarities about 0.75, each found exactly if it reaches it."""
+    rng, rows, near = random.Random(12), [], 0
+    for k in range(1200):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        n = rng.randint(11, 18)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:-n] + [f"v{rng.randrange(10**6)}" for _ in range(n)]))]
+    out = {r.doc_id: r.component_id for r in near_dedup.near_dedup(frame(spark, rows)).collect()}
+    for (i, a), (j, b) in zip(rows[::2], rows[1::2]):
+        x, y = shingles(a), shingles(b)
+        like = 100 * len(x & y) >= 75 * len(x | y)
+        near += like
+        assert out[i] == i and out[j] == (i if like else j)
+    assert 600 < near < 1200
+
+
+def test_dedup_stages_keep_clashing_columns(spark):
+    rows = [(1, "a b c d e f", 7, "x", "y", "z"), (2, "a b c d e f", 8, "x", "y", "z"), (3, "other", 9, "x", "y", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int, _sha string, id string, doc string").withColumn("sha", F.lit(1))
+    for drop in (exact_dedup.drop_exact_duplicates, near_dedup.drop_near_duplicates, suffix_dedup.drop_repeats):
+        out = drop(df)
+        kept = {r.doc_id: tuple(r) for r in out.collect()}
+        assert out.columns == df.columns and kept == {r[0]: (*r, 1) for r in rows if r[0] in kept} and kept.keys() >= {1, 3}
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(1)
     both = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
