@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.flags import DUPLICATE, FIRST, UNMAPPED, has
+from ..functions.flags import DUPLICATE, FIRST, LAST, NOT_PRIMARY, UNMAPPED, has
 
 
 def flagged(rows: DataFrame, marks: DataFrame, remove: bool = False, late: bool = False) -> DataFrame:
@@ -29,6 +29,26 @@ def in_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy("late", "ord", "rec_idx").drop("late")
 
 
+def name_key(qname: Column) -> Column:
+    """A text that sorts like the name with its runs of digits as numbers."""
+    parts = F.regexp_extract_all(qname, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+    number = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    # 254 characters are the longest name, so three digits hold a number's length
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(number(x)).cast("string"), 3, "0"), number(x))).otherwise(x)), "")
+
+
+def by_name(rows: DataFrame) -> DataFrame:
+    """Rows without the duplicate bit, grouped by name: names in natural order, first ends before second ones, primary rows before others."""
+    out = rows.withColumn("flag", F.col("flag").bitwiseAND(~DUPLICATE))
+    return out.orderBy(name_key(F.col("qname")), "qname", has(F.col("flag"), LAST), has(F.col("flag"), NOT_PRIMARY), "ord", "rec_idx")
+
+
+def by_coordinate(rows: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Rows by contig, in the header's order, and position; those without a contig come last."""
+    place = contigs.select(F.col("name").alias("rname"), F.col("seq_num").alias("_place"))
+    return rows.join(F.broadcast(place), "rname", "left").orderBy(F.col("_place").asc_nulls_last(), "pos", "ord", "rec_idx").select(*rows.columns)
+
+
 def with_mate_tags(rows: DataFrame, classified: DataFrame) -> DataFrame:
     """rows with mc and mq filled, where they were null, from the mate's CIGAR and mapping quality.
 

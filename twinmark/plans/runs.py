@@ -42,6 +42,8 @@ def options_of(args) -> Options:
 
 def mark(spark: SparkSession, args, argv: list[str]) -> int:
     options = options_of(args)
+    if "-" in (args.input, args.output):
+        raise ValueError("standard input and output can't be split or joined by tasks; name files")
     if not args.output.endswith(".bam"):
         raise ValueError("the output's name must end with .bam")
     lines, rows = load(spark, args.input, options.check_crc is not False)

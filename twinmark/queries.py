@@ -178,7 +178,7 @@ _LINE_NO = "CAST(row_number() OVER (ORDER BY ord, rec_idx) - 1 AS BIGINT)"
 @query(f"{_BASE} SELECT {_LINE_NO} + {len(_FILE_HEADER)} AS line_no, {_LINE_SQL} AS line FROM al")
 def scan_sam_lines(spark, d):
     """The lines of a file that is written first, numbered by the scan."""
-    path = workspace.folder(spark)
+    path = f"{workspace.folder(spark)}/sam"
     head = spark.createDataFrame([("\n".join(_FILE_HEADER),)], "value string").coalesce(1)
     head.union(_lines(spark, d).orderBy("ord", "rec_idx").select("value")).write.text(path)
     return sam.scan(spark, path).filter(~F.col("value").startswith("@")).select("line_no", F.col("value").alias("line"))
@@ -191,7 +191,7 @@ _AUX_SQL = "CASE WHEN rg IS NULL THEN '' ELSE 'RG:Z:' || rg || ' ' END || 'NM:i:
 @query(f"{_BASE} SELECT {_LINE_NO} AS row_no, {_SAM_FIELDS}, {_AUX_SQL} AS aux FROM al")
 def scan_bam(spark, d):
     """The records of a BAM file that is written first, in ranges of 1 MB, numbered in the file's order."""
-    path = f"{workspace.folder(spark)}.bam"
+    path = f"{workspace.folder(spark)}/a.bam"
     parsed = S.parse(F.col("value"))
     rows = _lines(spark, d).select("ord", "rec_idx", *(parsed[c].alias(c) for c in (*S.FIELDS, "aux")))
     bam.write(rows.orderBy("ord", "rec_idx"), path, list(_FILE_HEADER), 1)
@@ -202,7 +202,7 @@ def scan_bam(spark, d):
 @query(f"{_BASE} SELECT 'chr' || CAST(i AS STRING) AS name, CAST(CASE i WHEN 1 THEN 100000 ELSE 50000 END AS BIGINT) AS length, CAST(n AS BIGINT) AS records FROM (SELECT count(*) AS n FROM al), range(1, 3) r(i)")
 def bam_header(spark, d):
     """The references of a BAM file that is written first, and its records' number."""
-    path = f"{workspace.folder(spark)}.bam"
+    path = f"{workspace.folder(spark)}/a.bam"
     parsed = S.parse(F.col("value"))
     bam.write(_lines(spark, d).select(*(parsed[c].alias(c) for c in (*S.FIELDS, "aux"))), path, list(_FILE_HEADER))
     _, refs, _ = bam.read_header(path.removeprefix("file://"))
@@ -415,6 +415,26 @@ def mate_tags(spark, d):
     return _run(spark, d).with_mate_tags()
 
 
+def _placed(spark, ordered: DataFrame) -> DataFrame:
+    """The rows of a sorted file, written and read back, with their places in it."""
+    path = f"{workspace.folder(spark)}/sorted"
+    ordered.write.parquet(path)
+    back = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return sam.numbered(back, ["_file"], "_row").withColumn("place", F.col("line_no") + 1).drop("_file", "_row", "line_no")
+
+
+@query(f"{_BASE} SELECT CAST(row_number() OVER (ORDER BY CAST(substr(qname, 2) AS BIGINT), flag & 128, (flag & 2304) <> 0, rec_idx) AS BIGINT) AS place, qname, flag, rec_idx FROM al")
+def name_sort(spark, d):
+    """Records of a file sorted by name: numbers in names count as numbers."""
+    return _placed(spark, emit.by_name(_rows(spark, d)).select("qname", "flag", "rec_idx"))
+
+
+@query(f"{_BASE} SELECT CAST(row_number() OVER (ORDER BY CASE rname WHEN 'chr1' THEN 1 WHEN 'chr2' THEN 2 ELSE 3 END, pos, ord, rec_idx) AS BIGINT) AS place, ord, rec_idx, rname, pos FROM al")
+def coordinate_sort(spark, d):
+    """Records of a file sorted by contig and position."""
+    return _placed(spark, emit.by_coordinate(_rows(spark, d), fixture.contigs(spark)).select("ord", "rec_idx", "rname", "pos"))
+
+
 # --- metrics ---------------------------------------------------------------------------------------------------
 @query(f"{_stats_cte()} SELECT * FROM st")
 def library_stats(spark, d):

@@ -11,7 +11,7 @@ _local: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder's path under spark.checkpoint.dir; in local mode, where that is unset, under a temporary folder. Not made yet."""
+    """The path of a new folder under spark.checkpoint.dir; in local mode, where that is unset, under a temporary folder. It goes when the application ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -19,4 +19,9 @@ def folder(spark: SparkSession) -> str:
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="twinmark-"))
         base = f"file://{_local[0]}"
-    return f"{base.rstrip('/')}/twinmark/{uuid.uuid4().hex}"
+    made = f"{base.rstrip('/')}/twinmark/{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(made)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return made
