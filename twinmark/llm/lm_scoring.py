@@ -14,6 +14,7 @@ block's or a range's share; the number of ranges follows from the size of the te
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -27,7 +28,7 @@ from .shared import materialize, shards, table
 from .shingles import folded, mix, word_hashes
 
 #: Bytes of text in a block; bytes of text whose n-grams make one range; weights, in counts, of the next shorter context's model.
-BLOCK_BYTES, RANGE_BYTES, WEIGHTS = 8 << 20, 4 << 20, (16.0, 4.0)
+BLOCK_BYTES, RANGE_BYTES, WEIGHTS = 3 << 20, 4 << 20, (16.0, 4.0)
 #: Tokens of a lane: longer texts are traversed in several, each of which finds its state from the two words before.
 LANE = 256
 
@@ -132,7 +133,7 @@ def _count(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.Record
             parts = [p for p in range(ranges) if cuts[p] < cuts[p + 1]]
             yield pa.RecordBatch.from_arrays([
                 pa.array([batch.column(0)[i].as_py()] * len(parts), pa.int64()), pa.array(parts, pa.int32()),
-                pa.array([_planes(keys[cuts[p] : cuts[p + 1]], _KEY_BYTES) for p in parts], pa.binary()), pa.array([_planes(counts[cuts[p] : cuts[p + 1]], 4) for p in parts], pa.binary()),
+                pa.array([_planes(keys[cuts[p] : cuts[p + 1]], _KEY_BYTES) for p in parts], pa.binary()), pa.array([zlib.compress(_planes(counts[cuts[p] : cuts[p + 1]], 4), 1) for p in parts], pa.binary()),
             ], ["block", "part", "keys", "counts"])
 
 
@@ -143,10 +144,10 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = [_from_planes(r[2], _KEY_BYTES) for r in rows]
         ends = np.cumsum([len(k) for k in keys])
         unique, at = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.concatenate([_from_planes(r[3], 4) for r in rows])
+        counts = np.concatenate([_from_planes(zlib.decompress(r[3]), 4) for r in rows])
         sums = np.bincount(at, weights=counts, minlength=len(unique)).astype(np.int64)
         words = sums[(unique & np.uint64(3)) == 1]
-        totals = [_planes(x, 8) for x in np.split(sums[at], ends[:-1])]
+        totals = [zlib.compress(_planes(x, 8), 1) for x in np.split(sums[at], ends[:-1])]
         own = [r[0] for r in rows]
         return pa.RecordBatch.from_arrays([
             pa.array([*own, -1], pa.int64()), pa.array([rows[0][1]] * (len(rows) + 1), pa.int32()), pa.array([*totals, None], pa.binary()),
@@ -249,10 +250,12 @@ def score_block(texts: list[str | None], totals: np.ndarray, size: tuple[int, in
     one, word = np.unique(keys_one, return_inverse=True)
     two, pair = np.unique(keys_two, return_inverse=True)
     three, triple = np.unique(keys_three, return_inverse=True)
+    del keys_one, keys_two, keys_three
     order = np.sort(np.concatenate([one, two, three])) & np.uint64(3)
     if len(order) != len(totals):
         raise RuntimeError("a block's totals are not of its n-grams")
     words, pairs, triples = (totals[order == k] for k in (1, 2, 3))
+    del order, totals
     end = int(np.searchsorted(one, ngram_keys(np.array([_END]), np.array([0]))[0][0]))
     before = np.empty_like(word)
     before[1:], before[:1] = word[:-1], end
@@ -261,6 +264,7 @@ def score_block(texts: list[str | None], totals: np.ndarray, size: tuple[int, in
     at_two, at_three = np.empty(len(two), np.int64), np.empty(len(three), np.int64)  # a place of each
     at_two[pair], at_three[triple] = np.arange(len(tokens)), np.flatnonzero(inner)
     automaton = Automaton(words, (before[at_two], word[at_two], pairs), (pair[at_three - 1], word[at_three], triples), end, size, weights)
+    del pair, triple, before, at_two, at_three, pairs, triples
     known = np.add.reduceat((words[word] > 0).astype(np.int64), firsts)
     return sizes, known, np.add.reduceat(automaton.root_weight[word], firsts), automaton.traverse(word, sizes)
 
@@ -272,7 +276,9 @@ def _score(batches: Iterator[pa.RecordBatch], tokens: int, types: int, weights:
 
     def flush() -> pa.RecordBatch:
         ids, texts, held = own
-        sizes, known, base, score = score_block(texts, np.concatenate([_from_planes(t, 8) for t in totals]).astype(np.int64), (tokens, types), weights)
+        known = np.concatenate([_from_planes(zlib.decompress(t), 8) for t in totals]).view(np.int64)
+        totals.clear()
+        sizes, known, base, score = score_block(texts, known, (tokens, types), weights)
         out = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), tokens, np.int64)), pa.array(base), pa.array(score)]
         return pa.RecordBatch.from_arrays(out, [x.split()[0] for x in _SCORED.split(", ")])
 
@@ -297,7 +303,7 @@ def lm_scores(docs: DataFrame, held: Column, weights: tuple[float, float] = WEIG
     from, every word is unknown. A long text is a block of its own, which a task holds. Other columns are ignored, whatever their names.
     """
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(held, F.lit(False)).alias("held"))
-    blocks = materialize(own.mapInArrow(partial(_blocks, block_bytes=block_bytes), _BLOCK), "blocks")
+    blocks = materialize(own.mapInArrow(partial(_blocks, block_bytes=block_bytes), _BLOCK), "blocks", level=9)
     size = blocks.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.length(x), F.lit(0)) + 4))).first()[0] or 0
     parts, ranges = shards(docs), max(1, -(-size // range_bytes))
     sent = blocks.select("block", "texts", "held").mapInArrow(partial(_count, ranges=ranges), "block long, part int, keys binary, counts binary")

@@ -13,11 +13,11 @@ WHITE_BYTES = WHITE.encode()
 # ASCII capitals and their small letters.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors. level: zstd's, of 1 to 22."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _written[id(out)] = (out, path)
     return out
