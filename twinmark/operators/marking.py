@@ -13,18 +13,23 @@ from pyspark.sql import functions as F
 #: The second part of a single end's key, which no pair's key has.
 ALONE = -1
 KEY = ("lib_idx", "k1", "k2")
+DIRECTED = ("lib_idx", "d1", "d2")
+#: Stands for a missing part of a key, and meets no template.
+NO_KEY = -2
 
 LEGACY, APPROX, EXACT = "samblaster-legacy", "picard-approx", "picard-exact"
 STRATEGIES = ("strand-aware", LEGACY, APPROX, EXACT)
 
 
-def key_rows(keyed: DataFrame, strategy: str = "strand-aware") -> DataFrame:
-    """keyed's rows as ord, library, lib_idx, class, k1 and k2: a pair's two ends, or a fragment's end and ALONE; nulls for other classes."""
+def key_rows(keyed: DataFrame, strategy: str = "strand-aware", directed: bool = False) -> DataFrame:
+    """keyed's rows as ord, library, lib_idx, class, k1 and k2: a pair's two ends, or a fragment's end and ALONE; nulls for other classes.
+
+    With directed, d1 and d2 too: the same, with a pair's ends in the order of their slots.
+    """
     pair, fragment = F.col("class") == "pair", F.col("class") == "fragment"
     own = F.col("lk" if strategy == LEGACY else "k")
-    return keyed.select(
-        "ord", "library", "lib_idx", "class", F.when(pair, F.col("a")).when(fragment, own).alias("k1"), F.when(pair, F.col("b")).when(fragment, F.lit(ALONE).cast("long")).alias("k2")
-    )
+    key = lambda a, b, names: (F.when(pair, F.col(a)).when(fragment, own).alias(names[1]), F.when(pair, F.col(b)).when(fragment, F.lit(ALONE).cast("long")).alias(names[2]))
+    return keyed.select("ord", "library", "lib_idx", "class", *key("a", "b", KEY), *(key("e1", "e2", DIRECTED) if directed else ()))
 
 
 def events(rows: DataFrame, strategy: str) -> DataFrame:
@@ -37,20 +42,28 @@ def events(rows: DataFrame, strategy: str) -> DataFrame:
     return rows.select(*(c for c in rows.columns if c not in ("k1", "k2")), F.inline(each))
 
 
-def firsts(rows: DataFrame, strategy: str) -> DataFrame:
-    """KEY and first, the ord that is no duplicate (-1: all are), of keys that occur several times."""
-    found = events(rows, strategy).groupBy(*KEY).agg(F.min("ord").alias("first"), F.count("*").alias("n"), F.bool_or("end").alias("taken")).filter("n > 1")
-    first = F.when(F.col("taken"), F.lit(-1)).otherwise(F.col("first")) if strategy == EXACT else F.col("first")
-    return found.select(*KEY, first.alias("first"))
+def firsts(rows: DataFrame, strategies: dict[str, str]) -> DataFrame:
+    """KEY and for each name of strategies (name: strategy) the ord that is no duplicate (-1: all are), of keys of templates that occur several times.
+
+    All strategies in one aggregation; if one of them needs pairs' single ends, the others leave these out.
+    """
+    wide = next((s for s in strategies.values() if s in (APPROX, EXACT)), "strand-aware")
+    # a key that may be null is tested before it is made, by a copy of all that makes it
+    at = events(rows, wide).select("ord", "end", "lib_idx", *(F.coalesce(c, F.lit(NO_KEY)).alias(c) for c in KEY[1:]))
+    found = at.groupBy(*KEY).agg(F.min("ord").alias("any"), F.min(F.when(~F.col("end"), F.col("ord"))).alias("own"), F.count("*").alias("n"), F.bool_or("end").alias("taken"))
+    first = {APPROX: F.col("any"), EXACT: F.when(F.col("taken"), F.lit(-1)).otherwise(F.col("own"))}
+    return found.filter("n > 1 and own is not null").select(*KEY, *(first.get(s, F.col("own")).alias(n) for n, s in strategies.items()))
 
 
-def marked_rows(rows: DataFrame, strategies: dict[str, str]) -> DataFrame:
-    """key_rows with a mark for each name of strategies (name: strategy)."""
-    out, marks = rows, {}
-    for name, strategy in strategies.items():
-        out = out.join(firsts(rows, strategy).withColumnRenamed("first", f"_{name}"), list(KEY), "left")
-        marks[name] = F.coalesce(F.col(f"_{name}") != F.col("ord"), F.lit(False))
-    return out.withColumns(marks).drop(*(f"_{n}" for n in strategies))
+def marked_rows(rows: DataFrame, strategies: dict[str, str], directed: tuple[str, ...] = ()) -> DataFrame:
+    """key_rows with a mark for each name of strategies (name: strategy). Names in directed go by d1 and d2."""
+    out = rows
+    for key in (KEY, DIRECTED):
+        names = {f"_{n}": s for n, s in strategies.items() if (n in directed) == (key == DIRECTED)}
+        if names:
+            found = rows if key == KEY else rows.drop(*KEY[1:]).withColumnsRenamed(dict(zip(key, KEY)))
+            out = out.join(firsts(found, names).withColumnsRenamed(dict(zip(KEY, key))), list(key), "left")
+    return out.withColumns({n: F.coalesce(F.col(f"_{n}") != F.col("ord"), F.lit(False)) for n in strategies}).drop(*(f"_{n}" for n in strategies))
 
 
 def mark(keyed: DataFrame, strategy: str = "strand-aware") -> DataFrame:
@@ -70,7 +83,7 @@ def mark_by_end(keyed: DataFrame, key: str = "k") -> DataFrame:
 
 def _fragments(keyed: DataFrame, strategy: str) -> DataFrame:
     rows = key_rows(keyed.filter("class in ('pair', 'fragment')"))
-    marked = rows.filter("class = 'fragment'").join(firsts(rows, strategy).filter(F.col("k2") == ALONE), list(KEY), "left")
+    marked = rows.filter("class = 'fragment'").join(firsts(rows, {"first": strategy}).filter(F.col("k2") == ALONE), list(KEY), "left")
     return marked.select("ord", "library", F.coalesce(F.col("first") != F.col("ord"), F.lit(False)).alias("dup"))
 
 

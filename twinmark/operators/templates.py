@@ -71,22 +71,41 @@ def templates(ends: DataFrame, cigars: bool = False) -> DataFrame:
     return rows.select("ord", "lib_idx", end(1).alias("first"), end(2).alias("second"))
 
 
+_TOLD = PAIRED | UNMAPPED | MATE_UNMAPPED
+
+
+def _class_of(a: int | None, b: int | None, ignore_unmated: bool) -> str:
+    if a is None and b is None:
+        return "no_primary"
+    if a is None or b is None:
+        flag = b if a is None else a
+        if not flag & PAIRED:
+            return "unmapped_orphan" if flag & UNMAPPED else "fragment"
+        if flag & UNMAPPED:
+            return "unmapped_orphan" if ignore_unmated else "missing_mate"
+        return "fragment" if flag & MATE_UNMAPPED else "unmated" if ignore_unmated else "missing_mate"
+    if a & b & UNMAPPED:
+        return "both_unmapped"
+    return "fragment" if (a | b) & UNMAPPED else "pair"
+
+
+def _class(a: Column, b: Column, ignore_unmated: bool) -> Column:
+    """The class, by the flags of the first and second end; null where there is none. Looked up, as conditions are copied wherever the class is filtered by."""
+    flags = [None, *range(_TOLD + 1)]
+    place = lambda c: F.coalesce(c.bitwiseAND(_TOLD) + 1, F.lit(0))
+    return F.get(F.array(*(F.lit(_class_of(x, y, ignore_unmated)) for x in flags for y in flags)), place(a) * len(flags) + place(b))
+
+
+def _second_mapped(a: Column, b: Column) -> Column:
+    """Is a fragment's mapped end the second one? By the ends' flags."""
+    return a.isNull() | (b.isNotNull() & has(a, UNMAPPED))
+
+
 def classify(df: DataFrame, ignore_unmated: bool = False) -> DataFrame:
     """Add class: pair, fragment, unmapped_orphan, both_unmapped, unmated, no_primary or missing_mate (the last two are errors); and mapped: a fragment's mapped end."""
     a, b = F.col("first"), F.col("second")
-    only = F.coalesce(a, b)
-    flag = only["flag"]
-    lone = (
-        F.when(~has(flag, PAIRED), F.when(has(flag, UNMAPPED), "unmapped_orphan").otherwise("fragment"))
-        .when(has(flag, UNMAPPED), "unmapped_orphan" if ignore_unmated else "missing_mate")
-        .when(~has(flag, MATE_UNMAPPED), "unmated" if ignore_unmated else "missing_mate")
-        .otherwise("fragment")
-    )
-    ua, ub = has(a["flag"], UNMAPPED), has(b["flag"], UNMAPPED)
-    both = F.when(ua & ub, "both_unmapped").when(ua | ub, "fragment").otherwise("pair")
-    out = df.withColumn("class", F.when(a.isNull() & b.isNull(), "no_primary").when(a.isNull() | b.isNull(), lone).otherwise(both))
-    mapped = F.when(a.isNull() | (b.isNotNull() & ua), b).otherwise(a)
-    return out.withColumn("mapped", F.when(F.col("class") == "fragment", mapped))
+    out = df.withColumn("class", _class(a["flag"], b["flag"], ignore_unmated))
+    return out.withColumn("mapped", F.when(F.col("class") == "fragment", F.when(_second_mapped(a["flag"], b["flag"]), b).otherwise(a)))
 
 
 def check(classified: DataFrame, rows: DataFrame) -> None:
@@ -97,20 +116,38 @@ def check(classified: DataFrame, rows: DataFrame) -> None:
         raise ValueError(f"template {rows.filter(F.col('ord') == wrong[0].ord).first().qname} {what}")
 
 
-def keyed(classified: DataFrame, max_read_length: int = 1000, directional: bool = False, legacy: bool = False, every: bool = False) -> DataFrame:
-    """Pairs and fragments: ord, class, library, lib_idx, a and b (a pair's ends), k (a fragment's end), lk (its left end), clamped; with every, all classes.
+_NO_POSITION = -(1 << 31)
+
+
+def packed(ends: DataFrame, max_read_length: int = 1000, ignore_unmated: bool = False) -> DataFrame:
+    """What keyed takes, one row per ord: lib_idx and class, and of each slot's last primary row end (p5 above the flag's 32 bits), key, lk and moved.
+
+    The same rows as classify(templates(ends)) has, with an end in two numbers. With a number for each field, and texts and conditions for each use of one,
+    the generated method is over the 8,000 bytes that the JVM compiles, and every template is interpreted.
+    """
+    at = lambda c: F.shiftleft(F.col("seq_num").cast("long"), 33).bitwiseOR(F.shiftleft((F.col(c) + max_read_length).cast("long"), 1))
+    which, end = slot(F.col("flag")), F.shiftleft(F.coalesce("p5", F.lit(_NO_POSITION)).cast("long"), 32).bitwiseOR(F.col("flag").cast("long"))
+    moved = (F.col("kpos") != F.col("p5")).cast("int") + 2 * (F.col("lkpos") != F.col("lpos")).cast("int")
+    fields = {"end": end, "key": at("kpos").bitwiseOR(F.col("rev").cast("long")), "lk": at("lkpos"), "moved": moved}
+    rows = ends.filter("ord is not null").select("ord", "rec_idx", "lib_idx", *(F.when(which == k, F.col("rec_idx")).alias(f"_r{k}") for k in (1, 2)), *(v.alias(n) for n, v in fields.items()))
+    rows = rows.groupBy("ord").agg(F.min_by("lib_idx", "rec_idx").alias("lib_idx"), *(F.max_by(n, f"_r{k}").alias(f"{n}{k}") for k in (1, 2) for n in fields))
+    return rows.withColumn("class", _class(F.col("end1"), F.col("end2"), ignore_unmated))
+
+
+def keyed(found: DataFrame, directional: bool = False, legacy: bool = False, every: bool = False) -> DataFrame:
+    """Pairs and fragments: ord, class, library, lib_idx, a and b (a pair's ends), e1 and e2 (the same by slot), k (a fragment's end), lk (its left end), clamped; with every, all classes.
 
-    Ends are packed numbers. A pair's ends are ordered by unclamped position, then contig, then strand, unless directional.
+    found: packed, with library. Ends are packed numbers. A pair's ends are ordered by unclamped position, then contig, then strand, unless directional.
     """
-    pack = lambda e, pos="kpos": P.packed(e["seq_num"], e[pos], e["rev"], max_read_length)
-    f, s, m = F.col("first"), F.col("second"), F.col("mapped")
-    order = lambda e: F.struct(e["p5"].alias("p"), e["seq_num"].alias("s"), e["rev"].alias("r"))
-    swap = F.lit(False) if directional else order(f) > order(s)
-    pair, fragment = F.col("class") == "pair", F.col("class") == "fragment"
-    moved = (m["lkpos"] != m["lpos"]) if legacy else (m["kpos"] != m["p5"])
-    clamped = F.when(pair, (f["kpos"] != f["p5"]) | (s["kpos"] != s["p5"])).otherwise(moved)
-    lk = F.shiftleft(m["seq_num"].cast("long"), 33).bitwiseOR(F.shiftleft((m["lkpos"] + max_read_length).cast("long"), 1))
-    return (classified if every else classified.filter(pair | fragment)).select(
-        "ord", "class", "library", "lib_idx", F.when(pair, F.when(swap, pack(s)).otherwise(pack(f))).alias("a"), F.when(pair, F.when(swap, pack(f)).otherwise(pack(s))).alias("b"),
-        F.when(fragment, pack(m)).alias("k"), F.when(fragment, lk).alias("lk"), clamped.alias("clamped"),
+    one, two, end1, end2 = F.col("key1"), F.col("key2"), F.col("end1"), F.col("end2")
+    p1, p2 = F.shiftright(end1, 32), F.shiftright(end2, 32)
+    # ends at one position of one contig have one clamped position, so the keys tell contigs, then strands apart
+    swap = F.lit(False) if directional else (p1 > p2) | ((p1 == p2) & (F.coalesce(one, F.lit(-1)) > F.coalesce(two, F.lit(-1))))
+    pair, fragment, second = F.col("class") == "pair", F.col("class") == "fragment", _second_mapped(end1, end2)
+    mapped = lambda c: F.when(fragment, F.when(second, F.col(f"{c}2")).otherwise(F.col(f"{c}1")))
+    moved = lambda c, bit: c.bitwiseAND(bit) != 0
+    clamped = F.when(pair, moved(F.col("moved1"), 1) | moved(F.col("moved2"), 1)).otherwise(moved(mapped("moved"), 2 if legacy else 1))
+    return (found if every else found.filter(pair | fragment)).select(
+        "ord", "class", "library", "lib_idx", F.when(pair, F.when(swap, two).otherwise(one)).alias("a"), F.when(pair, F.when(swap, one).otherwise(two)).alias("b"),
+        F.when(pair, one).alias("e1"), F.when(pair, two).alias("e2"), mapped("key").alias("k"), mapped("lk").alias("lk"), clamped.alias("clamped"),
     )

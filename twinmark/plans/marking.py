@@ -48,7 +48,8 @@ class MarkDuplicates:
 
     def _keyed(self, every: bool) -> DataFrame:
         o = self.options
-        return templates.keyed(self.classified, o.max_read_length, o.methylation_mode == "directional", o.single_end_strategy == marking.LEGACY, every)
+        found = templates.packed(self.ends, o.max_read_length, o.ignore_unmated).withColumn("library", headers.bucket_name(self.libraries))
+        return templates.keyed(found, o.methylation_mode == "directional", o.single_end_strategy == marking.LEGACY, every)
 
     @cached_property
     def marks(self) -> DataFrame:
