@@ -5,7 +5,7 @@ import os
 import pytest
 
 from twinmark import queries as Q
-from twinmark.operators import marking, templates
+from twinmark.operators import compare, marking, templates
 
 SF = "/root/testdata/sf0.001"
 # Fixed value: the JVM interprets methods over so many bytes of code, however often they run.
@@ -13,7 +13,7 @@ COMPILED = 8000
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["cmp_pe_discordant_dump"])
+@pytest.mark.parametrize("name", ["cmp_pe_discordant_dump", "cmp_join"])
 def test_plan(spark, name):
     """Methods small enough to be compiled; one scan for the records, one for all templates of both sides."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -67,3 +67,19 @@ def test_directed_marks(spark):
     assert {x.ord: x.p for x in got} == want_p and {x.ord: x.q for x in got} == want_q and want_p != want_q
     one = marking.marked_rows(marking.key_rows(r.keyed), {"p": marking.EXACT, "q": "strand-aware"}).collect()
     assert {x.ord: x.q for x in one} == {x.ord: x.dup for x in marking.mark(r.keyed).collect()}
+
+
+def test_names_of_one_side(spark):
+    """Two datasets meet in one aggregation, without a join; a name that a side lacks has no mark there."""
+    a = spark.createDataFrame([("x", 99, "1:5:F"), ("x", 1024 | 147, "1:20:R"), ("x", 2113, None), ("only a", 1024 | 73, "1:7:F")], "qname string, flag int, kf string")
+    b = spark.createDataFrame([("x", 99), ("x", 147), ("only b", 1024 | 73), ("no primary", 1024 | 2113)], "qname string, flag int")
+    joined = compare.compared(a, b)
+    assert "Join" not in joined._jdf.queryExecution().executedPlan().toString()
+    got = {r.qname: tuple(r)[1:] for r in joined.collect()}
+    assert got == {
+        "x": ("pe_both_mapped", ["1:20:R", "1:5:F"], "1:20:R|1:5:F", 2, True, False),
+        "only a": ("orphan", ["1:7:F"], "1:7:F", 1, True, None),
+        "only b": (None, None, None, None, None, True),
+        "no primary": (None, None, None, None, None, False),
+    }
+    assert tuple(compare.join_counts(joined).first()) == (4, 3, 1, 2)

@@ -19,12 +19,7 @@ def end_key(rows: DataFrame) -> Column:
 
 def _side(rows: DataFrame) -> DataFrame:
     primary, dup = ~has(F.col("flag"), NOT_PRIMARY), has(F.col("flag"), DUPLICATE)
-    count = lambda c: F.count(F.when(c, 1))
-    unmapped = has(F.col("flag"), UNMAPPED)
-    out = [count(primary).alias("n_primary"), count(primary & unmapped).alias("n_unmapped"), count(primary & has(F.col("flag"), PAIRED)).alias("n_paired"), F.coalesce(F.bool_or(primary & dup), F.lit(False)).alias("dup"), F.bool_or(~primary).alias("has_supp"), F.bool_or(dup).alias("any_dup"), F.bool_and(dup).alias("all_dup")]
-    if "kf" in rows.columns:
-        out.append(F.array_sort(F.collect_list(F.when(primary, F.col("kf")))).alias("kfs"))
-    return rows.groupBy("qname").agg(*out)
+    return rows.groupBy("qname").agg(F.bool_or(~primary).alias("has_supp"), F.bool_or(dup).alias("any_dup"), F.bool_and(dup).alias("all_dup"))
 
 
 def category() -> Column:
@@ -39,22 +34,22 @@ def compared(oracle: DataFrame, partner: DataFrame) -> DataFrame:
 
     Names of one side only have a null mark on the other; check() rejects them.
     """
-    a = _side(oracle).withColumn("category", category())
-    gkey = F.when(F.size("kfs") > 0, F.array_join("kfs", "|"))
-    a = a.select("qname", "category", "kfs", gkey.alias("gkey"), "n_primary", F.col("dup").alias("oracle_dup"))
-    return a.join(_side(partner).select("qname", F.col("dup").alias("partner_dup")), "qname", "full_outer")
+    a = oracle.select("qname", "flag", F.lit(None).cast("int").alias("partner_flag"), "kf")
+    return compared_rows(a.union(partner.select("qname", F.lit(None).cast("int"), "flag", F.lit(None).cast("string"))))
 
 
 def compared_rows(rows: DataFrame) -> DataFrame:
-    """What compared gives, for records that carry both sides' flags: qname, flag, partner_flag, kf. One aggregation, no join."""
-    primary, dup = ~has(F.col("flag"), NOT_PRIMARY), lambda c: has(F.col(c), DUPLICATE)
-    count = lambda c: F.count(F.when(c, 1))
-    marked = lambda c: F.coalesce(F.bool_or(primary & dup(c)), F.lit(False))
+    """What compared gives, for records that carry both sides' flags, null on a side that lacks them: qname, flag, partner_flag, kf. One aggregation, no join."""
+    flag, primary, dup = F.col("flag"), lambda c: ~has(c, NOT_PRIMARY), lambda c: has(c, DUPLICATE)
+    count = lambda c: F.count(F.when(primary(flag) & c, 1))
+    marked = lambda c: F.when(F.count(c) > 0, F.coalesce(F.bool_or(primary(c) & dup(c)), F.lit(False)))
+    seen = F.col("oracle_dup").isNotNull()
     out = rows.groupBy("qname").agg(
-        count(primary).alias("n_primary"), count(primary & has(F.col("flag"), UNMAPPED)).alias("n_unmapped"), count(primary & has(F.col("flag"), PAIRED)).alias("n_paired"),
-        F.array_sort(F.collect_list(F.when(primary, F.col("kf")))).alias("kfs"), marked("flag").alias("oracle_dup"), marked("partner_flag").alias("partner_dup"),
+        count(F.lit(True)).alias("n_primary"), count(has(flag, UNMAPPED)).alias("n_unmapped"), count(has(flag, PAIRED)).alias("n_paired"),
+        F.array_sort(F.collect_list(F.when(primary(flag), F.col("kf")))).alias("kfs"), marked(flag).alias("oracle_dup"), marked(F.col("partner_flag")).alias("partner_dup"),
     )
-    return out.select("qname", category().alias("category"), "kfs", F.when(F.size("kfs") > 0, F.array_join("kfs", "|")).alias("gkey"), "n_primary", "oracle_dup", "partner_dup")
+    of = lambda c, name: F.when(seen, c).alias(name)
+    return out.select("qname", of(category(), "category"), of(F.col("kfs"), "kfs"), F.when(F.size("kfs") > 0, F.array_join("kfs", "|")).alias("gkey"), of(F.col("n_primary"), "n_primary"), "oracle_dup", "partner_dup")
 
 
 def check(joined: DataFrame) -> None:
