@@ -13,7 +13,7 @@ COMPILED = 8000
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["cmp_pe_discordant_dump", "cmp_join"])
+@pytest.mark.parametrize("name", ["cmp_pe_discordant_dump", "cmp_join", "cmp_concordance_row"])
 def test_plan(spark, name):
     """Methods small enough to be compiled; one scan for the records, one for all templates of both sides."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -83,3 +83,17 @@ def test_names_of_one_side(spark):
         "no primary": (None, None, None, None, None, False),
     }
     assert tuple(compare.join_counts(joined).first()) == (4, 3, 1, 2)
+
+
+def test_clipped_cigars(spark):
+    """CIGARs of one M with soft clips are measured without lists of operations, to the same lengths as others."""
+    from pyspark.sql import functions as F
+
+    from twinmark.functions import cigar as C
+
+    want = {
+        "50M": (0, 0, 50, 50), "5S45M": (5, 0, 45, 45), "45M5S": (0, 5, 45, 45), "3S40M7S": (3, 7, 40, 40), "0003S40M": (3, 0, 40, 40), "5H45M": (5, 0, 45, 45), "5S40M5H": (5, 5, 40, 40),
+        "2S3S40M": (5, 0, 40, 40), "40M2S3S": (0, 5, 40, 40), "20M2D28M": (0, 0, 50, 48), "5S": (5, 0, 0, 0), "*": (0, 0, 0, 0), "": (0, 0, 0, 0),
+    }
+    rows = spark.createDataFrame([(t,) for t in want], "t string").select("t", *(c.alias(n) for n, c in C.summary(F.col("t")).items()))
+    assert {r.t: tuple(r)[1:] for r in rows.collect()} == want

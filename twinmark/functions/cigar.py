@@ -26,13 +26,15 @@ def _total(cigar: Column, ops: str) -> Column:
 
 def summary(cigar: Column) -> dict[str, Column]:
     """sclip, eclip, ra_len and qa_len. Soft and hard clips before the first of M, = and X are at the start, the others at the end."""
-    plain = cigar.rlike("^[0-9]+M$")  # most reads have one operation
-    size = F.regexp_extract(cigar, "^([0-9]+)M$", 1)
+    # most reads have one M, with or without soft clips: cut at the letters, without lists of operations
+    plain = cigar.rlike("^([0-9]{1,9}S)?[0-9]+M([0-9]{1,9}S)?$")
+    before, after = F.substring_index(cigar, "M", 1), F.substring_index(cigar, "M", -1)
+    clip = lambda c: F.when(F.endswith(c, F.lit("S")), F.substring_index(c, "S", 1).try_cast("int")).otherwise(0)
+    head = F.when(F.contains(before, F.lit("S")), F.substring_index(before, "S", 1).try_cast("int")).otherwise(0)
     front = F.regexp_extract(cigar, r"^((?:[0-9]+[IDNSHP])*)", 1)
-    fast = lambda c: F.when(plain, size.try_cast("int")).otherwise(c)
-    none = lambda c: F.when(plain, F.lit(0)).otherwise(c)
-    start = _total(front, "SH")
-    return {"sclip": none(start), "eclip": none(_total(cigar, "SH") - start), "ra_len": fast(_total(cigar, "MDN=X")), "qa_len": fast(_total(cigar, "MI=X"))}
+    fast = lambda a, c: F.when(plain, a).otherwise(c)
+    start, size = _total(front, "SH"), F.substring_index(before, "S", -1).try_cast("int")
+    return {"sclip": fast(head, start), "eclip": fast(clip(after), _total(cigar, "SH") - start), "ra_len": fast(size, _total(cigar, "MDN=X")), "qa_len": fast(size, _total(cigar, "MI=X"))}
 
 
 def as_text(ops: Column) -> Column:
